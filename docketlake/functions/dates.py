@@ -27,9 +27,9 @@ def month_number(word: Column) -> Column:
 
 def ymd(year: Column, month: Column, day: Column) -> Column:
     """Date from parts, null when there is no such day."""
+    dash = F.lit("-")
     parts = [p.cast("string") for p in (year, month, day)]
-    known = parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull()
-    return F.when(known, F.try_to_date(F.concat_ws("-", *parts), "yyyy-M-d"))
+    return F.concat(parts[0], dash, parts[1], dash, parts[2]).try_cast("date")
 
 
 def parse_date(text: Column) -> Column:
@@ -54,6 +54,12 @@ def parse_date(text: Column) -> Column:
     )
 
 
+def first_date(candidates: list[Column]) -> Column:
+    """Date of the first candidate text that holds one."""
+    dates = F.transform(F.array(*candidates), parse_date)
+    return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
+
+
 def all_dates(text: Column) -> Column:
     """Array of (source, date) for every date in the text, form by form."""
     hits = F.concat(
