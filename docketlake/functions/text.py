@@ -96,7 +96,7 @@ def try_long(text: Column) -> Column:
 
 
 def sorted_set(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(values, lambda v: v.isNotNull())))
+    return F.sort_array(F.array_distinct(F.array_compact(values)))
 
 
 def truncate_middle(text: Column, limit: int, keep_head: int, keep_tail: int, marker: str) -> Column:

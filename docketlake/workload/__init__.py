@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docketlake.workload import extraction
+from docketlake.workload import extraction, search
 
-FLAGSHIP = "case_identity"
-_MODULES = (extraction,)
+FLAGSHIP = "hybrid_rrf"
+_MODULES = (search, extraction)
 
 
 def queries() -> dict:
