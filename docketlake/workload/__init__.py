@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docketlake.workload import extraction, search
+from docketlake.workload import extraction, relational, search
 
 FLAGSHIP = "hybrid_rrf"
-_MODULES = (search, extraction)
+_MODULES = (search, relational, extraction)
 
 
 def queries() -> dict:
