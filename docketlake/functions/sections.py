@@ -76,24 +76,11 @@ def paragraph_numbers(text: Column) -> Column:
     return sorted_set(F.transform(every(text, NUMBERED_PARAGRAPH, 1, "m"), try_long))
 
 
-def before_and_match(text: Column, pattern: str, flags: str) -> Column:
-    """Struct (at, match) of the first match; ``at`` is its position."""
+def before_and_match(text: Column, pattern: str, flags: str) -> tuple[Column, Column]:
+    """(text before the first match, the match), both '' when there is none."""
     inline = f"(?{flags}:{pattern})" if flags else f"(?:{pattern})"
     whole = rx(rf"\A(?s:(.*?))({inline})")
-    hit = F.regexp_extract(text, whole, 2)
-    return F.when(
-        hit != "", F.struct(F.length(F.regexp_extract(text, whole, 1)).alias("at"), hit.alias("match"))
-    )
-
-
-def stripped_span(text: Column, start: Column, end: Column) -> Column:
-    """(start, end) without the whitespace at both ends."""
-    piece = cut(text, start, end)
-    left = F.length(piece) - F.length(F.ltrim(piece, F.lit(WHITESPACE)))
-    kept = F.length(strip(piece))
-    return F.when(
-        kept > 0, F.struct((start + left).alias("start"), (start + left + kept).alias("end"))
-    )
+    return F.regexp_extract(text, whole, 1), F.regexp_extract(text, whole, 2)
 
 
 def rhetorical_start(text: Column, pattern: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.functions import sections as S
-from docketlake.functions.text import is_blank, rx, strip
+from docketlake.functions.text import WHITESPACE, is_blank, rx, strip
 
 # Sizes in characters.
 SINGLE_LIMIT = 100_000
@@ -22,19 +22,11 @@ PARAGRAPH_BOUNDARY = r"\n\s*(?=\d{1,3}\.\s)"
 _MARK = "\ufdd0"
 
 
-def _section(kind: str, text: Column, span: Column) -> Column:
-    body = S.cut(text, span["start"], span["end"])
-    numbers = S.paragraph_numbers(body) if kind == "body" else F.array().cast("array<bigint>")
-    return F.when(
-        span.isNotNull(),
-        F.struct(
-            F.lit(kind).alias("section_type"),
-            body.alias("text"),
-            numbers.alias("paragraph_numbers"),
-            span["start"].alias("start_char"),
-            span["end"].alias("end_char"),
-        ),
-    )
+_SECTIONS_TYPE = (
+    "array<struct<section_type:string,text:string,paragraph_numbers:array<bigint>,"
+    "start_char:int,end_char:int>>"
+)
+_KINDS = ["header", "body", "disposition"]
 
 
 def with_sections(docs: DataFrame, text: str = "text", into: str = "sections") -> DataFrame:
@@ -42,65 +34,89 @@ def with_sections(docs: DataFrame, text: str = "text", into: str = "sections") -
 
     Header up to the marker, body, and the disposition found in the last 30 %.
     Offsets count from the start of the stripped text. Blank texts have no sections.
+    Intermediate values are plain columns, each computed once: a struct would be
+    taken apart again and its expression repeated for every field read.
     """
-    c, p = F.col, f"__{into}_"
-    whole = c(p + "whole")
-    staged = docs.withColumn(p + "whole", F.when(~is_blank(c(text)), strip(c(text))))
-    marker = c(p + "marker")
-    staged = staged.withColumn(
-        p + "marker",
-        F.coalesce(
-            _ends(S.before_and_match(whole, S.MARKER, "m"), True),
-            _ends(S.before_and_match(whole, S.ATTRIBUTION, ""), False),
-            F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")),
-        ),
+    p = f"__{into}_"
+
+    def c(name: str) -> Column:
+        return F.col(p + name)
+
+    def add(df: DataFrame, **columns: Column) -> DataFrame:
+        return df.withColumns({p + name: value for name, value in columns.items()})
+
+    df = add(docs, whole=F.when(~is_blank(F.col(text)), strip(F.col(text))))
+    before, match = S.before_and_match(c("whole"), S.MARKER, "m")
+    df = add(df, m_before=before, m_match=match)
+    # The attribution is looked for only where there is no marker.
+    unmarked = F.when(c("m_match") == "", c("whole"))
+    before, match = S.before_and_match(unmarked, S.ATTRIBUTION, "")
+    df = add(df, a_before=before, a_match=match)
+    start = F.when(c("m_match") != "", F.length(c("m_before"))).otherwise(
+        F.length(F.coalesce(c("a_before"), F.lit("")))
     )
-    search_from = F.greatest(marker["end"], (F.length(whole) * F.lit(S.DISPOSITION_SHARE)).cast("int"))
-    staged = staged.withColumn(p + "search_from", search_from)
-    hit = S.before_and_match(
-        S.cut(whole, c(p + "search_from"), F.length(whole)), S.DISPOSITION, "im"
-    )
-    staged = staged.withColumn(p + "at", c(p + "search_from") + hit["at"])
-    lookback = F.greatest(marker["end"], c(p + "at") - S.DISPOSITION_LOOKBACK)
-    window = S.cut(whole, lookback, c(p + "at"))
+    df = add(df, start=start, end=start + F.length(c("m_match")), size=F.length(c("whole")))
+    df = add(df, search_from=F.greatest(c("end"), (c("size") * F.lit(S.DISPOSITION_SHARE)).cast("int")))
+    before, match = S.before_and_match(S.cut(c("whole"), c("search_from"), c("size")), S.DISPOSITION, "im")
+    df = add(df, d_before=before, d_match=match)
+    df = add(df, at=F.when(c("d_match") != "", c("search_from") + F.length(c("d_before"))))
+    df = add(df, window=S.cut(c("whole"), F.greatest(c("end"), c("at") - S.DISPOSITION_LOOKBACK), c("at")))
     line_start = F.when(
-        window.contains("\n"), c(p + "at") - F.length(F.substring_index(window, "\n", -1))
-    ).otherwise(c(p + "at"))
+        c("window").contains("\n"), c("at") - F.length(F.substring_index(c("window"), "\n", -1))
+    ).otherwise(c("at"))
     # Position 0 counts as "none": the body is then the whole text.
-    staged = staged.withColumn(p + "tail", F.nullif(line_start, F.lit(0)))
-    tail_start, size = c(p + "tail"), F.length(whole)
-    spans = {
-        "header": F.when(marker["start"] > 0, S.stripped_span(whole, F.lit(0), marker["end"])),
-        "body": S.stripped_span(whole, marker["end"], F.coalesce(tail_start, size)),
-        "disposition": F.when(tail_start < size, S.stripped_span(whole, tail_start, size)),
-    }
-    staged = staged.withColumns({p + kind: span for kind, span in spans.items()})
-    found = F.array_compact(F.array(*(_section(kind, whole, c(p + kind)) for kind in spans)))
-    everything = F.array(
-        _section("body", whole, F.struct(F.lit(0).alias("start"), size.alias("end")))
+    df = add(df, tail=F.when(line_start != 0, line_start))
+    df = add(
+        df,
+        raw_header=F.when(c("start") > 0, S.cut(c("whole"), F.lit(0), c("end"))),
+        raw_body=S.cut(c("whole"), c("end"), F.coalesce(c("tail"), c("size"))),
+        raw_disposition=F.when(c("tail") < c("size"), S.cut(c("whole"), c("tail"), c("size"))),
+        from_header=F.lit(0),
+        from_body=c("end"),
+        from_disposition=c("tail"),
     )
-    sections = F.when(F.size(found) > 0, found).otherwise(everything)
-    sections = F.when(whole.isNotNull(), sections).otherwise(F.array().cast(_SECTIONS_TYPE))
-    return staged.withColumn(into, sections).drop(
-        *(p + k for k in ("whole", "marker", "search_from", "at", "tail", *spans))
+    df = add(df, **{f"text_{k}": strip(c(f"raw_{k}")) for k in _KINDS})
+    df = add(
+        df,
+        **{
+            f"at_{k}": c(f"from_{k}") + F.length(c(f"raw_{k}")) - F.length(F.ltrim(c(f"raw_{k}"), F.lit(WHITESPACE)))
+            for k in _KINDS
+        },
     )
 
+    def section(kind: str, body: Column, start: Column, numbered: bool) -> Column:
+        numbers = S.paragraph_numbers(body) if numbered else F.array().cast("array<bigint>")
+        return F.struct(
+            F.lit(kind).alias("section_type"),
+            body.alias("text"),
+            numbers.alias("paragraph_numbers"),
+            start.cast("int").alias("start_char"),
+            (start + F.length(body)).cast("int").alias("end_char"),
+        )
 
-_SECTIONS_TYPE = (
-    "array<struct<section_type:string,text:string,paragraph_numbers:array<bigint>,"
-    "start_char:int,end_char:int>>"
-)
-
-
-def _ends(hit: Column, includes_match: bool) -> Column:
-    end = hit["at"] + F.length(hit["match"]) if includes_match else hit["at"]
-    return F.when(hit.isNotNull(), F.struct(hit["at"].alias("start"), end.alias("end")))
+    parts = F.array(
+        *(
+            F.when(c(f"text_{k}") != "", section(k, c(f"text_{k}"), c(f"at_{k}"), k == "body"))
+            for k in _KINDS
+        )
+    )
+    df = add(df, found=F.array_compact(parts))
+    everything = F.array(section("body", c("whole"), F.lit(0), True))
+    value = (
+        F.when(c("whole").isNull(), F.array().cast(_SECTIONS_TYPE))
+        .when(F.size(c("found")) > 0, c("found"))
+        .otherwise(everything)
+    )
+    return df.select(*(F.col(name) for name in docs.columns), value.alias(into))
 
 
 def sections(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per section."""
     keep = [F.col(name) for name in docs.columns if name != text]
-    return with_sections(docs, text, "section").select(*keep, F.inline("section"))
+    # Outer, then a test on the result: for a plain inline Spark would copy the whole
+    # section expression into a filter below it.
+    rows = with_sections(docs, text, "section").select(*keep, F.inline_outer("section"))
+    return rows.filter(F.col("section_type").isNotNull())
 
 
 def rhetorical_map(docs: DataFrame, text: str = "text", into: str = "parts") -> DataFrame:
@@ -140,7 +156,8 @@ def _overlap(reach: Column) -> Column:
     From a paragraph start, else after the last sentence end, else all of it.
     """
     # The next paragraph starts with a line feed, which may complete the last number.
-    ahead = S.before_and_match(F.concat(reach, F.lit("\n")), PARAGRAPH_BOUNDARY, "")["at"]
+    before, match = S.before_and_match(F.concat(reach, F.lit("\n")), PARAGRAPH_BOUNDARY, "")
+    ahead = F.when(match != "", F.length(before))
     after_sentence = F.length(reach) - F.length(F.substring_index(reach, ". ", -1))
     return (
         F.when(ahead.isNotNull(), S.cut(reach, ahead, F.length(reach)))
@@ -278,7 +295,7 @@ def chunks(
         "__chunks", F.when(long, _split_sections(whole, c("__sections"))).otherwise(single)
     )
     prefix = None if summary is None else c(summary)
-    rows = base.select(*keep, F.size("__chunks").alias("total_chunks"), F.posexplode("__chunks").alias("chunk_index", "__c"))
+    rows = base.select(*keep, F.size("__chunks").alias("total_chunks"), F.posexplode_outer("__chunks").alias("chunk_index", "__c"))
     return rows.select(
         *keep,
         "chunk_index",

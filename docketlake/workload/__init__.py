@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docketlake.workload import extraction, relational, search
+from docketlake.workload import extraction, relational, search, segments
 
 FLAGSHIP = "hybrid_rrf"
-_MODULES = (search, relational, extraction)
+_MODULES = (search, relational, segments, extraction)
 
 
 def queries() -> dict:
