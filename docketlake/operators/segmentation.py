@@ -273,29 +273,42 @@ def with_summary(text: Column, summary: Column | None) -> Column:
     return F.when(F.coalesce(summary, F.lit("")) == "", text).otherwise(F.concat(prefix, text))
 
 
-def chunks(
-    docs: DataFrame, text: str = "text", summary: str | None = None, single_limit: int = SINGLE_LIMIT
+def with_chunks(
+    docs: DataFrame, text: str = "text", into: str = "chunks", single_limit: int = SINGLE_LIMIT
 ) -> DataFrame:
-    """One row per chunk, every other column carried along.
+    """Adds array ``into`` of (raw, start, end, section_type); empty for blank texts.
 
     Texts up to ``single_limit`` are one chunk; longer ones are split at numbered
-    paragraphs within their sections. Blank texts give none. Offsets index the
-    stripped text. Only the long rows pay for section parsing and packing: the
-    expressions sit behind one condition per row.
+    paragraphs within their sections. Only the long rows pay for section parsing and
+    packing: those expressions see null for the others.
     """
     c = F.col
-    keep = [c(name) for name in docs.columns if name != text]
-    base = docs.filter(~is_blank(c(text))).withColumn("__whole", strip(c(text)))
+    base = docs.withColumn("__whole", F.when(~is_blank(c(text)), strip(c(text))))
     whole = c("__whole")
     long = F.length(whole) > single_limit
-    base = base.withColumn("__long", F.when(long, whole))
-    base = with_sections(base, "__long", "__sections")
+    base = with_sections(base.withColumn("__long", F.when(long, whole)), "__long", "__sections")
     single = F.array(_chunk(whole, F.lit(0), F.length(whole), F.lit("body")))
-    base = base.withColumn(
-        "__chunks", F.when(long, _split_sections(whole, c("__sections"))).otherwise(single)
+    made = (
+        F.when(whole.isNull(), F.array().cast(f"array<{_CHUNK}>"))
+        .when(long, _split_sections(whole, c("__sections")))
+        .otherwise(single)
     )
+    return base.withColumn(into, made).drop("__whole", "__long", "__sections")
+
+
+def chunks(
+    docs: DataFrame, text: str = "text", summary: str | None = None, single_limit: int = SINGLE_LIMIT
+) -> DataFrame:
+    """One row per chunk, every other column carried along. Offsets index the
+    stripped text; blank texts give none."""
+    c = F.col
+    keep = [c(name) for name in docs.columns if name != text]
+    base = with_chunks(docs, text, "__chunks", single_limit)
+    rows = base.select(
+        *keep, F.size("__chunks").alias("total_chunks"),
+        F.posexplode_outer("__chunks").alias("chunk_index", "__c"),
+    ).filter(c("__c").isNotNull())
     prefix = None if summary is None else c(summary)
-    rows = base.select(*keep, F.size("__chunks").alias("total_chunks"), F.posexplode_outer("__chunks").alias("chunk_index", "__c"))
     return rows.select(
         *keep,
         "chunk_index",
@@ -305,4 +318,3 @@ def chunks(
         c("__c.end").alias("char_end"),
         with_summary(strip(c("__c.raw")), prefix).alias("text"),
     )
-

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docketlake.workload import extraction, listings, relational, search, segments
+from docketlake.workload import extraction, ingestion, listings, relational, search, segments
 
 FLAGSHIP = "hybrid_rrf"
-_MODULES = (search, relational, listings, segments, extraction)
+_MODULES = (search, relational, listings, segments, ingestion, extraction)
 
 
 def queries() -> dict:
