@@ -11,7 +11,7 @@ from docketlake.functions.courts import is_maintenance_page
 from docketlake.functions.text import truncate_middle
 from docketlake.operators import passes
 from docketlake.operators import records as P
-from docketlake.operators.dedup import first_by_url, limit_per_group, limit_rows
+from docketlake.operators.dedup import first_by_url, first_per_group, limit_per_group, limit_rows
 from docketlake.operators.embedding import HashingEmbedder, embed_column
 from docketlake.operators.extraction import TIER_A, extract_tier_a
 from docketlake.operators.layouts import TIER_B, TIER_C, VOCABULARIES
@@ -29,24 +29,44 @@ COURTS = {
     "PHC": ("PHC", P.peshawar, ["category"]),
     "FSC": ("FSC_LEADING", P.shariat_leading, ["case_type"]),
     "COMMONLII": ("COMMONLII", P.commonlii_links, []),
+    # JSON sources: the record parser runs on rows of the response, not of a table.
+    "IHC": (None, P.islamabad, ["judgment_type"]),
+    "BHC": (None, P.balochistan, ["type_name", "author_judge"]),
 }
 OMITTED = "\n\n[...MIDDLE SECTION OMITTED...]\n\n"
 
 
+def _listing_rows(pages: DataFrame, court: str) -> DataFrame:
+    """Rows of the captured pages or API responses of one court."""
+    if court == "IHC":
+        if "judgment_type" not in pages.columns:
+            pages = pages.withColumn("judgment_type", F.lit("reported"))
+        rows = P.islamabad_api(pages, "html")
+        return rows.filter(F.col("api_error").isNull()).withColumn("row_no", F.col("O_ID"))
+    if court == "BHC":
+        keep = [c for c in pages.columns if c != "html"]
+        rows = P.embedded_json(pages).select(*keep, F.inline_outer("api.records"))
+        return rows.filter(F.col("FILE_ID").isNotNull() | F.col("CASE_ID").isNotNull()).withColumn("row_no", F.col("CASE_ID"))
+    usable = pages.filter(~is_maintenance_page(F.col("html")))
+    return scan_rows(usable, SCHEMAS[COURTS[court][0]])
+
+
 def crawl(pages: DataFrame, court: str, limit: int | None = None, category: str | None = None, per_year: int | None = None) -> DataFrame:
     """Captured pages (page, html, source_url …) → unique records in page order.
 
     Maintenance pages carry no rows. Records without a link are all kept.
     """
-    schema, parse, _ = COURTS[court]
-    usable = pages.filter(~is_maintenance_page(F.col("html")))
-    rows = scan_rows(usable, SCHEMAS[schema])
+    parse = COURTS[court][1]
+    rows = _listing_rows(pages, court)
     order = [c for c in ("year", "page", "row_no") if c in rows.columns]
     # The common 'year' of a link wins over the page's own.
     keep = [c for c in order if not (court == "COMMONLII" and c == "year")]
     found = parse(rows, keep)
     if category:
         found = P.by_category(found, category)
+    record_id = {"IHC": "o_id", "BHC": "file_id"}.get(court)
+    if record_id:
+        found = first_per_group(found, [record_id], keep)
     url = "url" if court == "COMMONLII" else "pdf_url"
     unique = first_by_url(found, url, keep)
     if per_year:
@@ -113,6 +133,14 @@ def extract(docs: DataFrame, factory: Callable[[], object] | None = None, source
     return out.withColumn("extraction_metadata", meta).drop(*(f"__{n}{s}" for n in requests for s in ("", "_error")))
 
 
+def summarize(docs: DataFrame, factory: Callable[[], object], into: str = "summary") -> DataFrame:
+    """Adds a short summary for chunk prefixes; '' for texts below 200 characters and on failure."""
+    text = truncate_middle(F.col("text"), 12_000, 8_000, 4_000, "\n\n[...middle truncated...]\n\n")
+    request = F.when(F.length("text") >= 200, F.concat(F.lit('Summarize this judgment in 50 to 100 words as {"summary": "..."}.\n\n'), text))
+    out = passes.ask(docs.withColumn("__request", request), "__request", factory, "__s")
+    return out.withColumn(into, passes.parse_summary(F.col("__s"))).drop("__request", "__s", "__s_error")
+
+
 PAYLOAD = ["case_title", "case_type", "court_level", "jurisdiction_province", "date_judgment", "judge_names", "ppc_sections"]
 
 

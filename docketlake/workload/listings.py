@@ -118,7 +118,7 @@ LINKS = {"base": "nav li", "fields": {"label": ("a", None), "href": ("a", "href"
 def page_links(spark, sf_dir):
     """Navigation entries of every page, by selector."""
     pages = read(spark, sf_dir, "pages", "page_id", "html")
-    return scan_rows(pages.repartition(spark.sparkContext.defaultParallelism), LINKS).select("page_id", F.col("row_no").cast("bigint").alias("row_no"), "href")
+    return scan_rows(pages, LINKS).select("page_id", F.col("row_no").cast("bigint").alias("row_no"), "href")
 
 
 def page_headings(spark, sf_dir):

@@ -24,6 +24,8 @@ def _md5_sql(key: str) -> str:
 
 
 def read(spark, sf_dir, name, *columns):
+    if name in ("documents", "pages", "conversations"):
+        return table(spark, sf_dir, name, *columns)
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return frame.select(*columns) if columns else frame
 
