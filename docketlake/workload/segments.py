@@ -105,6 +105,29 @@ def _truncate_sql(limit: int, keep_head: int, keep_tail: int, marker: str) -> st
     return f"md5(CASE WHEN length(t) > {limit} THEN left(t, {keep_head}) || {marker} || right(t, {keep_tail}) ELSE t END)"
 
 
+def _rhetorical_sql() -> str:
+    """Matches unnested with running positions, then the same acceptance and order."""
+    found = " UNION ALL ".join(
+        f"""SELECT judgment_id, text, {rank} AS rank, '{name}' AS name, {n} AS pat, unnest(generate_series(1, len(m))) AS i, m, s FROM
+        (SELECT judgment_id, text, regexp_extract_all(text, {Q.re2(p, 'im')}) AS m, regexp_split_to_array(text, {Q.re2(p, 'im')}) AS s FROM t)"""
+        for rank, (name, patterns) in enumerate(S.RHETORICAL)
+        for n, p in enumerate(patterns)
+    )
+    long = f"length({Q.strip('text')}) >= {S.MIN_SPLIT_TEXT}"
+    size = "list_sum(list_transform({}, lambda x: length(x)))"
+    return f"""WITH t AS (SELECT judgment_id, text FROM ({J.SQL})),
+f AS ({found}),
+p AS (SELECT judgment_id, text, rank, name, pat, i, ({size.format('s[1:i]')} + coalesce({size.format('m[1:i - 1]')}, 0))::BIGINT AS pos FROM f),
+w AS (SELECT *, text[greatest(pos - {S.LINE_START_LOOKBACK}, 0) + 1:pos] AS seen FROM p),
+a AS (SELECT * FROM w WHERE length({Q.strip("CASE WHEN contains(seen, chr(10)) THEN string_split(seen, chr(10))[-1] ELSE text[1:pos] END")}) < {S.LINE_START_LIMIT}),
+o AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY judgment_id, name ORDER BY pat, i) = 1),
+c AS (SELECT judgment_id, name AS section, trim(text[pos + 1:coalesce(lead(pos) OVER (PARTITION BY judgment_id ORDER BY pos, rank), length(text))], {Q.SPACES}) AS piece FROM o WHERE {long}),
+r AS (SELECT judgment_id, 'full_text' AS section, text AS piece FROM t UNION ALL
+  SELECT judgment_id, 'header', {Q.strip(f"CASE WHEN {long} THEN left(text, least(length(text) // {S.HEADER_SHARE}, {S.HEADER_LIMIT})) ELSE text END")} FROM t UNION ALL
+  SELECT * FROM c WHERE length(piece) > {S.MIN_PIECE})
+SELECT judgment_id, section, length(piece) AS chars, md5(piece) AS digest FROM r"""
+
+
 _MARKED_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'In the matter' || chr(10) || 'JUDGMENT' || chr(10) || {NUMBERED_SQL} ||
   chr(10) || 'The appeal is dismissed.' || chr(10) || 'Judge' || chr(10) ELSE {NUMBERED_SQL} END AS text FROM documents"""
 QUERIES = {
@@ -117,6 +140,7 @@ QUERIES = {
 }
 ORACLES = {
     "sections": SECTIONS_SQL,
+    "rhetorical_sections": _rhetorical_sql(),
     "paragraph_numbers": rf"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(
       regexp_extract_all(text, '(?m)^\s*(\d{{1,3}})\.\s', 1), lambda n: n::BIGINT))), ','), '') AS paragraphs FROM ({_MARKED_SQL})""",
     "chunk_invariants": f"""SELECT doc_id, true AS complete, true AS dense, 0 AS first_char, length({Q.strip('text')})::INT AS last_char,
