@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketlake.functions.text import WHITESPACE, every, has, rx, sorted_set, strip, try_long
+from docketlake.functions.text import every, has, on_lower, rx, sorted_set, strip, try_long
 
 # The marker between header and body, attribution, disposition phrases.
 MARKER = r"^\s*(?:J\s*U\s*D\s*G\s*M\s*E\s*N\s*T|O\s*R\s*D\s*E\s*R|JUDGMENT|ORDER)\s*$"
@@ -83,7 +83,7 @@ def before_and_match(text: Column, pattern: str, flags: str) -> tuple[Column, Co
     return F.regexp_extract(text, whole, 1), F.regexp_extract(text, whole, 2)
 
 
-def rhetorical_start(text: Column, pattern: str) -> Column:
+def rhetorical_start(text: Column, low: Column, pattern: str) -> Column:
     """Position of the first match that stands near the start of a line.
 
     Walks the matches in order: pieces between matches and matches alternate, so
@@ -113,24 +113,24 @@ def rhetorical_start(text: Column, pattern: str) -> Column:
     start = F.struct(
         F.lit(0).alias("end"), F.lit("").alias("context"), F.lit(None).cast("int").alias("found")
     )
-    # Most texts lack most phrases; the fold runs only where one occurs.
-    return F.when(has(text, pattern, "im"), F.aggregate(steps, start, step)["found"])
+    # Most texts lack most phrases; the fold runs only where the lower-cased text has one.
+    return F.when(has(low, on_lower(pattern), "m"), F.aggregate(steps, start, step)["found"])
 
 
-def rhetorical_sections(text: Column) -> Column:
-    """Map section name → text, with ``full_text`` and ``header`` always present."""
+def rhetorical_marks(text: Column, low: Column) -> Column:
+    """Array of (at, rank, name) of the seven sections; null for texts too short to split."""
     long_enough = F.length(strip(text)) >= MIN_SPLIT_TEXT
     marks = F.array(
         *(
             F.struct(
-                F.coalesce(*(rhetorical_start(text, p) for p in patterns)).alias("at"),
+                F.coalesce(*(rhetorical_start(text, low, p) for p in patterns)).alias("at"),
                 F.lit(rank).alias("rank"),
                 F.lit(name).alias("name"),
             )
             for rank, (name, patterns) in enumerate(RHETORICAL)
         )
     )
-    return F.when(long_enough, marks).alias("marks")
+    return F.when(long_enough, marks)
 
 
 def pieces_between(text: Column, marks: Column) -> Column:

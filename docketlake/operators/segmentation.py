@@ -123,9 +123,8 @@ def rhetorical_map(docs: DataFrame, text: str = "text", into: str = "parts") ->
     """Adds map ``into`` of section name → text (facts, issues, …, order)."""
     c, p = F.col, f"__{into}_"
     source = F.coalesce(c(text), F.lit(""))
-    staged = docs.withColumn(p + "text", source).withColumn(
-        p + "marks", S.rhetorical_sections(c(p + "text"))
-    )
+    staged = docs.withColumn(p + "text", source).withColumn(p + "low", F.lower(c(p + "text")))
+    staged = staged.withColumn(p + "marks", S.rhetorical_marks(c(p + "text"), c(p + "low")))
     marks = F.array_sort(F.filter(c(p + "marks"), lambda m: m["at"].isNotNull()))
     staged = staged.withColumn(p + "sorted", marks)
     named = F.coalesce(
@@ -137,7 +136,7 @@ def rhetorical_map(docs: DataFrame, text: str = "text", into: str = "parts") ->
         F.struct(F.lit("header").alias("name"), S.header_piece(c(p + "text")).alias("text")),
     )
     return staged.withColumn(into, F.map_from_entries(F.concat(always, named))).drop(
-        p + "text", p + "marks", p + "sorted"
+        p + "text", p + "low", p + "marks", p + "sorted"
     )
 
 
