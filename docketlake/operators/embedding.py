@@ -74,7 +74,8 @@ def embed_column(
                     time.sleep(pause)
             yield pd.Series(out)
 
-    return df.withColumn(into, vectors(F.col(text)))
+    # Not deterministic: Spark must never copy the provider call into a second place.
+    return df.withColumn(into, vectors.asNondeterministic()(F.col(text)))
 
 
 def embed_query(query: str, provider=None) -> list[float]:

@@ -46,10 +46,6 @@ def ask(
 
     A null prompt is not sent. Failures become error rows and never end the job.
     """
-    schema = StructType(
-        [*df.schema.fields, StructField(into, StringType()), StructField(f"{into}_error", StringType())]
-    )
-
     def one(provider, text) -> tuple[str | None, str | None]:
         if text is None:
             return None, None
@@ -66,13 +62,16 @@ def ask(
                 time.sleep(wait_base**attempt)
         return None, "no attempt made"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only the prompt travels to Python; the other columns stay where they are. Not
+    # deterministic: Spark must never copy the call into a second place.
+    @F.pandas_udf(StructType([StructField("answer", StringType()), StructField("error", StringType())]))
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         provider = factory()
         for batch in batches:
-            pairs = [one(provider, text) for text in batch[prompt]]
-            yield batch.assign(**{into: [a for a, _ in pairs], f"{into}_error": [e for _, e in pairs]})
+            yield pd.DataFrame([one(provider, text) for text in batch], columns=["answer", "error"])
 
-    return df.mapInPandas(run, schema)
+    answered = df.withColumn("__call", call.asNondeterministic()(F.col(prompt)))
+    return answered.withColumns({into: F.col("__call.answer"), f"{into}_error": F.col("__call.error")}).drop("__call")
 
 
 def parse_tier_b(

@@ -118,13 +118,19 @@ def with_bucket(points: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def upsert(spark: SparkSession, new: DataFrame, path: str, version: str, buckets: int = BUCKETS) -> None:
     """Writes points by id, the highest ``version`` wins; running it twice changes nothing.
 
-    One write replaces the touched buckets and leaves the others. The list of touched
-    buckets is at most ``buckets`` long, whatever the number of points.
+    The new points are written beside the collection first, so they are computed once
+    however costly they are (embeddings, model calls). One write then replaces the
+    touched buckets and leaves the others. The list of touched buckets is at most
+    ``buckets`` long, whatever the number of points. One writer at a time.
     """
+    staged = f"{path.rstrip('/')}.incoming"
     incoming = with_bucket(latest(new, version), buckets)
-    merged = incoming
+    incoming.write.mode("overwrite").partitionBy("bucket").parquet(staged)
+    merged = incoming = spark.read.schema(incoming.schema).parquet(staged)
+    touched = [r[0] for r in incoming.select("bucket").distinct().collect()]
+    if not touched:
+        return
     if collection_exists(spark, path):
-        touched = [r[0] for r in incoming.select("bucket").distinct().collect()]
         stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
         merged = latest(stored.unionByName(incoming, allowMissingColumns=True), version)
     (
