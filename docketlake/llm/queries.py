@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from docketlake.llm import chat, mixing, quality_rules, sharding
+import corpus_pipeline
+from docketlake.llm import chat, decontamination, mixing, quality_rules, sharding, simhash_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_simhash_near_dedup": simhash_dedup.op4_simhash_near_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_sharding": sharding.op7_sharding,
     "op9_mixing": mixing.op9_mixing,
+    "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op5_chat_formatting": chat.CHAT_SQL}
