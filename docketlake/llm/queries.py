@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docketlake.llm import chat, decontamination, mixing, quality_rules, sharding, simhash_dedup
+from docketlake.llm import chat, decontamination, mixing, private_data, quality_crf, quality_rules, secrets, sharding, simhash_dedup, toxicity
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_private_data": private_data.op3_private_data,
     "op4_simhash_near_dedup": simhash_dedup.op4_simhash_near_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op6_quality_crf": quality_crf.op6_quality_crf,
     "op7_sharding": sharding.op7_sharding,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
     "pipeline": corpus_pipeline.run,
