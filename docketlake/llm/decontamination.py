@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from docketlake.llm.common import stage
 
 WIDTH, SIMILARITY, RADIUS, BLOCKS, ITEM_BLOCK = 5, 0.8, 17, 6, 20_000
+#: Index rows (five numbers each) that may be broadcast.
+INDEX_ROWS = 400_000
 BITS = [11, 11, 11, 11, 10, 10]
 STARTS = [sum(BITS[:b]) for b in range(BLOCKS)]
 _WORD = re.compile(r"[^\W_]+")
@@ -180,12 +182,15 @@ def find_leaks(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "
         windows = spark.createDataFrame([], f"{schema}, start_word long, n_words int, fp long, shingles array<long>")
     windows = stage(windows, "bench-windows")
     probes = windows.select("*", F.inline(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)])).alias("block", "value"))
-    index = filed(items)
+    index = filed(items.select("item_id", "n_words", "fp"))
+    # A few numbers per near value; beyond the bound the two sides are shuffled on the block values.
+    small = items.count() * sum(len(_near(b, RADIUS // BLOCKS)) for b in BITS) <= INDEX_ROWS
+    index = F.broadcast(index) if small else index.hint("merge")
     met = (probes["n_words"] == index["n_words"]) & (probes["block"] == index["block"]) & (probes["value"] == index["value"])
     distance = F.bit_count(probes["fp"].bitwiseXOR(index["fp"]))
-    found = probes.join(index, met & (distance <= RADIUS)).select(
-        *[probes[k] for k in keys], index["item_id"], index["item_copies"], probes["start_word"], probes["n_words"],
-        distance.alias("distance"), weighted_jaccard(probes["shingles"], index["shingles"]).alias("similarity"))
+    close = probes.join(index, met & (distance <= RADIUS)).select(
+        *[probes[k] for k in keys], index["item_id"].alias("id_of"), probes["start_word"], distance.alias("distance"), probes["shingles"].alias("own"))
+    found = close.join(items, close["id_of"] == items["item_id"]).withColumn("similarity", weighted_jaccard(F.col("own"), F.col("shingles")))
     best = F.max(F.struct(F.col("similarity"), (-F.col("distance")).alias("near"), (-F.col("start_word")).alias("early"), "n_words", "item_copies")).alias("w")
     return found.filter(F.col("similarity") >= SIMILARITY - 1e-12).groupBy(*keys, "item_id").agg(best).select(
         *keys, "item_id", "w.item_copies", (-F.col("w.early")).alias("start_word"), "w.n_words", (-F.col("w.near")).alias("distance"), F.round("w.similarity", 6).alias("similarity"))
