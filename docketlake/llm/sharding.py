@@ -11,6 +11,8 @@ be null. Records equal in id and text share a slot. The table may be empty.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +117,7 @@ def shard_records(docs: DataFrame, shards: int, path: str, slots: int = SLOTS, k
 
 
 def sharded(spark, docs):
-    path = f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/slot-map-{abs(hash(docs.semanticHash()))}"
+    path = f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/slot-map-{uuid.uuid4().hex}"
     found = shard_records(docs.select("doc_id", "text"), 8, path)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
