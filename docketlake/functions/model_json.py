@@ -98,7 +98,8 @@ def safe_text(value: Column) -> Column:
 
 
 def safe_texts(value: Column) -> Column:
-    texts = F.transform(elements(value), safe_text)
+    # Numbers that are 0, false and empty lists are missing items, as elsewhere.
+    texts = F.transform(elements(value), lambda x: F.when(to_string(x).isNotNull(), safe_text(x)))
     return F.coalesce(F.array_compact(texts), F.array().cast("array<string>"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,8 +100,9 @@ def cosine(vector: Column, query: list[float]) -> Column:
 
     @F.arrow_udf("double")
     def score(vectors: pa.Array) -> pa.Array:
-        valid = vectors.is_valid().to_numpy(zero_copy_only=False)
-        flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False)
+        # Vectors of another length than the query's have no score.
+        valid = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False) == len(q)
+        flat = vectors.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False)
         matrix = flat.astype("float64").reshape(-1, len(q))
         norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
         norms[norms == 0] = 1.0

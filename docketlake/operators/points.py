@@ -103,6 +103,8 @@ def _array_type() -> str:
 # ── collection ──
 # Points are stored by a bucket of their id: an update rewrites the buckets it touches.
 BUCKETS = 64
+# Tasks that may share the writing of one bucket.
+SPREAD = 32
 
 
 def latest(points: DataFrame, version: str) -> DataFrame:
@@ -134,7 +136,7 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, version: str, buckets
         stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
         merged = latest(stored.unionByName(incoming, allowMissingColumns=True), version)
     (
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+        merged.repartition("bucket", F.pmod(F.xxhash64("point_uuid", F.lit(1)), F.lit(SPREAD))).write.mode("overwrite").partitionBy("bucket")
         .option("partitionOverwriteMode", "dynamic").parquet(path)
     )
 
@@ -153,7 +155,8 @@ def create_collection(spark: SparkSession, path: str, schema: StructType) -> boo
     """Empty collection; False when it is there already."""
     if collection_exists(spark, path):
         return False
-    spark.createDataFrame([], schema).write.parquet(path)
+    # An empty file in a bucket folder: the layout and schema that upserts expect.
+    spark.createDataFrame([], schema).write.parquet(f"{path.rstrip('/')}/bucket=0")
     return True
 
 

@@ -126,15 +126,17 @@ def fuse(legs: Sequence[DataFrame], key: str, limit: int, rrf_k: int = RRF_K) ->
 
 def search_hybrid(
     points: DataFrame, query: str, embed: Callable[[str], Sequence[float]] | Sequence[float],
-    limit: int = 10, where: Column | None = None, dense_limit: int = LEG_LIMIT,
-    sparse_limit: int = LEG_LIMIT, rrf_k: int = RRF_K, key: str = "point_uuid",
+    limit: int = 10, where: Column | None = None, dense_limit: int | None = None,
+    sparse_limit: int | None = None, rrf_k: int = RRF_K, key: str = "point_uuid",
     dense: str = "dense", sparse: str = "sparse",
 ) -> DataFrame:
     """Dense and sparse legs fused by rank; filters act inside the legs.
 
-    Result: (key, score). A query without terms leaves the sparse leg empty.
+    A leg fetches LEG_LIMIT rows, or ``limit`` if that is more, unless told otherwise;
+    rows without a leg's vector are left out of that leg alone. Result: (key, score). A query without terms leaves the sparse leg empty.
     """
     vector = embed(query) if callable(embed) else embed
+    dense_limit, sparse_limit = (given or max(limit, LEG_LIMIT) for given in (dense_limit, sparse_limit))
     legs = [
         search_dense(points.select(*_needed(points, key, dense, where)), vector, dense_limit, where, key=key, vector=dense),
         search_sparse(points.select(*_needed(points, key, sparse, where)), query, sparse_limit, where, key=key, vector=sparse),

@@ -25,7 +25,8 @@ def start_new_texts(stream: DataFrame, out: str, checkpoint: str, order: str, te
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         if collection_exists(spark, out):
-            known = spark.read.parquet(out).filter(F.col("batch") < number).select("text_hash")
+            # The schema is given: the batches so far may have held blank texts only.
+            known = spark.read.schema("text_hash string, batch long").parquet(out).filter(F.col("batch") < number).select("text_hash")
         else:
             known = batch.limit(0).select(F.lit("").alias("text_hash"))
         fresh = new_texts(batch, known, [order], text).withColumn("batch", F.lit(number))

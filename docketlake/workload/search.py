@@ -43,11 +43,11 @@ def documents(spark, sf_dir, *columns):
 
 
 def points(spark, sf_dir):
-    """Documents with term vectors, joined to their embeddings by id."""
+    """All documents with term vectors, and their embeddings where they have one."""
     docs = S.with_sparse(documents(spark, sf_dir, "doc_id", "text", "lang"))
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     vectors = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dense"))
-    return docs.join(vectors, "doc_id").select("doc_id", "lang", "sparse", "dense")
+    return docs.join(vectors, "doc_id", "left").select("doc_id", "lang", "sparse", "dense")
 
 
 def example_vector(spark, sf_dir) -> list[float]:
@@ -133,8 +133,8 @@ ORACLES = {
     "sparse_topk_filtered": _sparse_sql("(SELECT * FROM documents WHERE lang IN ('en', 'de'))", 10),
     "dense_topk": f"SELECT vec_id, label, round(s, 4) AS score FROM (SELECT *, {_cos('embedding')} AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10",
     "dense_filtered_threshold": f"SELECT vec_id, label, round(s, 4) AS score FROM (SELECT *, {_cos('embedding')} AS s FROM embeddings WHERE label IN (1, 2, 3)) WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 25",
-    "hybrid_rrf": f"""WITH pts AS (SELECT d.*, e.embedding FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
-      dense AS (SELECT doc_id, s AS score FROM (SELECT doc_id, {_cos('embedding')} AS s FROM pts) ORDER BY s DESC, doc_id LIMIT 20),
+    "hybrid_rrf": f"""WITH pts AS (SELECT d.*, e.embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
+      dense AS (SELECT doc_id, s AS score FROM (SELECT doc_id, {_cos('embedding')} AS s FROM pts WHERE embedding IS NOT NULL) ORDER BY s DESC, doc_id LIMIT 20),
       sparse AS ({_sparse_sql("pts", 20)}),
       ranked AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part FROM dense
         UNION ALL SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM sparse)

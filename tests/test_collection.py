@@ -17,3 +17,21 @@ def test_upsert_keeps_the_highest_version(spark, tmp_path):
     assert load(("b", 3, "new"), ("a", 1, "old")) == [("a", 2, "z"), ("b", 3, "new"), ("c", 1, "w")]
     assert P.collection_info(spark, store)["points_count"] == 3
     assert not P.create_collection(spark, store, spark.read.parquet(store).schema)
+
+
+def test_create_then_upsert_twice(spark, tmp_path):
+    from docketlake.operators import points as P
+
+    path = str(tmp_path / "made")
+    new = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "point_uuid string, v long, payload string")
+    assert P.create_collection(spark, path, new.schema)
+    P.upsert(spark, new, path, "v")
+    P.upsert(spark, spark.createDataFrame([("a", 2, "z")], new.schema), path, "v")
+    assert {(r.point_uuid, r.v, r.payload) for r in spark.read.parquet(path).collect()} == {("a", 2, "z"), ("b", 1, "y")}
+
+
+def test_vectors_of_other_lengths_have_no_score(spark):
+    from docketlake.functions.vectors import cosine
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [])], "id long, v array<double>")
+    assert {r.id: r.s for r in rows.select("id", cosine(rows["v"], [1.0, 0.0]).alias("s")).collect()} == {1: 1.0, 2: None, 3: None, 4: None}
