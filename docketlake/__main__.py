@@ -29,6 +29,9 @@ def main(argv: list[str] | None = None) -> None:
     spark.dataSource.register(ListingSource)
     options = {"court": args.court, "captures": args.captures, "years": ",".join(map(str, args.year))}
     pages = spark.read.format("court_listing").options(**options).load()
+    # Requests that failed are part of the result: a run is complete only if this table is empty.
+    failed = pages.filter("html is null").select("court", "year", "page", "error")
+    failed.write.mode("overwrite").json(f"{args.output}/{args.court.lower()}_failed_requests")
     pages = pages.filter("html is not null").withColumns(
         {"judge_id": F.lit(args.judge_id), "judge_name": F.coalesce(F.lit(args.judge_name), F.concat(F.lit("Judge "), F.lit(args.judge_id).cast("string")))}
     )

@@ -6,19 +6,23 @@
 
 ``transport`` names a function (request: dict) → (body, has_next). Without a network
 a directory of captured pages stands in: ``captures=/path`` reads
-COURT/YEAR/PAGE.html. Paging stops at the last page, an empty page or ``max_pages``.
+COURT/YEAR/PAGE.html. Paging stops at the last page or an empty
+one; a page that fails is an error row and the next is tried. ``max_pages``, if given,
+leaves an error row where it cuts.
 """
 
 from __future__ import annotations
 
 import importlib
+import itertools
 import os
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-# Paging limit and the request defaults of the sites.
-MAX_PAGES = 200
+# Requests that may fail one after another before a year is given up, with an error row each.
+MAX_FAILURES = 3
+# The request defaults of the sites.
 DATE_RANGE = ("2001-01-01", "2026-12-31")
 SEARCH_MODES = {"case": 1, "court": 2, "judge": 3}
 
@@ -88,14 +92,23 @@ class ListingReader(DataSourceReader):
     def read(self, partition: _Request) -> Iterator[tuple]:
         if partition.year == -1:
             return
-        get = self._transport()
-        for page in range(1, int(self.options.get("max_pages", MAX_PAGES)) + 1):
+        get, failures = self._transport(), 0
+        most = int(self.options["max_pages"]) if self.options.get("max_pages") else None
+        for page in itertools.count(1):
+            if most is not None and page > most:
+                yield (self.options["court"], partition.year, page, None, f"max_pages: not read beyond page {most}")
+                return
             request = request_for(self.options, partition.year, page)
             try:
                 body, more = get(request)
             except Exception as error:
                 yield (self.options["court"], partition.year, page, None, f"{type(error).__name__}: {error}")
-                return
+                failures += 1
+                # A year without a first page has no further ones.
+                if page == 1 or failures == MAX_FAILURES:
+                    return
+                continue
+            failures = 0
             if body:
                 yield (self.options["court"], partition.year, page, body, None)
             if not more or not body:

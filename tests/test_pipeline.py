@@ -42,6 +42,23 @@ def test_listing_source_and_cli(spark, tmp_path):
     assert summary["total"] == 4 and summary["with_text"] == 0
 
 
+def test_failing_and_cut_pages_leave_error_rows():
+    from docketlake.sources.listing import ListingReader, _Request
+
+    reader = ListingReader({"court": "PHC", "captures": "-", "years": "2020"})
+
+    def get(request):
+        if request["page"] == 2:
+            raise OSError("gone")
+        return "x", request["page"] < 250
+
+    reader._transport = lambda: get
+    rows = list(reader.read(_Request(2020)))
+    assert [r[2] for r in rows] == list(range(1, 251)) and [r[2] for r in rows if r[4]] == [2]
+    reader.options["max_pages"] = "3"
+    assert [(r[2], r[4] is None) for r in reader.read(_Request(2020))] == [(1, True), (2, False), (3, True), (4, False)]
+
+
 def test_request_defaults():
     assert request_for({"court": "BHC", "judge": "7"}, None, 1) == {
         "court": "BHC", "page": 1, "judge": "7", "searchBy": 3, "sDate": "2001-01-01", "eDate": "2026-12-31"}
