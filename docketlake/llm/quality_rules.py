@@ -175,3 +175,51 @@ def keep_good(spark, docs, sf_dir):
     measures = stage(measured(held).drop("text"), "quality-measures")
     good = with_verdict(measures).filter("kept")
     return good.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+
+
+def _sql_rates() -> str:
+    rate = "CAST(10000 * {} // greatest({}, 1) AS BIGINT) AS {}".format
+    return ", ".join([
+        rate("n_symbols", "word_chars", "symbol_rate"), rate("n_dup_lines", "n_lines", "dup_line_rate"),
+        rate("n_repeat_words", "n_words", "repeat_rate"), rate("n_upper", "word_chars", "upper_rate"),
+        "CAST(100 * word_chars // greatest(n_words, 1) AS BIGINT) AS word_length"])
+
+
+def _sql_fences(keys: str, name: str) -> str:
+    """Fences per key, a row per metric: cumulated counts give the buckets of the two quantiles."""
+    own = f"{keys}, " if keys else ""
+    top = "((({0} - (CASE WHEN {0} < 64 THEN 0 ELSE {0} // 32 - 1 END) * 32) + 1) << (CASE WHEN {0} < 64 THEN 0 ELSE {0} // 32 - 1 END)) - 1".format
+    floors = " ".join(f"WHEN '{m}' THEN {v}" for m, v in FLOORS.items())
+    return f"""
+{name}_sums AS (SELECT {own}metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
+{name}_run AS (SELECT *, sum(n) OVER (PARTITION BY {own}metric ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY {own}metric) AS total FROM {name}_sums),
+{name}_at AS (SELECT {own}metric, CAST(max(total) AS BIGINT) AS total, min(bucket) FILTER (seen >= ceil(total * 0.5)) AS mid, min(bucket) FILTER (seen >= ceil(total * 0.75)) AS high
+  FROM {name}_run GROUP BY ALL),
+{name} AS (SELECT {own}metric, total, greatest({top('mid')} + 6 * (({top('high')}) - ({top('mid')})), CASE metric {floors} END) AS fence FROM {name}_at)"""
+
+
+RULES_SQL = fr"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM texts),
+placed AS (SELECT rid, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM split),
+windows AS (SELECT rid, i, a, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c FROM placed WINDOW p AS (PARTITION BY rid ORDER BY i)),
+again AS (SELECT rid, i FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+covered AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY rid),
+base AS (SELECT rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  length(text) - length(regexp_replace(text, '\p{{Lu}}{{2,}}', '', 'g')) AS n_upper, len(lines) AS n_lines
+  FROM split LEFT JOIN covered USING (rid)),
+rated AS (SELECT *, {_sql_rates()} FROM base),
+metrics AS (SELECT rid, lang, source, unnest([{", ".join(f"'{m}'" for m in METRICS)}]) AS metric, unnest([{", ".join(METRICS)}]) AS value FROM rated),
+sketch AS (SELECT lang, source, metric, bucket, count(*) AS n FROM (
+  SELECT *, (greatest(length(bin(value)) - 6, 0) * 32 + (value >> CAST(greatest(length(bin(value)) - 6, 0) AS BIGINT))) AS bucket FROM metrics) GROUP BY ALL),
+{_sql_fences("lang, source", "own")}, {_sql_fences("lang", "of_lang")}, {_sql_fences("", "of_all")},
+judged AS (SELECT rid, string_agg(m.metric, ',' ORDER BY list_position([{", ".join(f"'{m}'" for m in METRICS)}], m.metric)) AS reasons
+  FROM metrics m JOIN own o ON m.metric = o.metric AND m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source
+  JOIN of_lang l ON m.metric = l.metric AND m.lang IS NOT DISTINCT FROM l.lang JOIN of_all e ON m.metric = e.metric
+  WHERE m.value > CASE WHEN o.total >= 200 THEN o.fence WHEN l.total >= 200 THEN l.fence ELSE e.fence END GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+  NOT failed AND reasons IS NULL AS kept, coalesce(reasons, '') AS reasons
+FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS failed FROM rated LEFT JOIN judged USING (rid))"""

@@ -18,4 +18,4 @@ QUERIES = {
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op5_chat_formatting": chat.CHAT_SQL}
+ORACLES = {"op2_quality_rules": quality_rules.RULES_SQL, "op5_chat_formatting": chat.CHAT_SQL}

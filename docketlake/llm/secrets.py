@@ -57,7 +57,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     each = found.select("candidate").distinct().select("candidate", F.explode(pieces).alias("piece"))
     covered = each.join(words, each["piece"] == words["word"]).groupBy("candidate").agg(F.sum(F.length("piece")).alias("covered"))
     covered = covered.select(F.col("candidate").alias("candidate_of"), "covered")
-    classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace("candidate", "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0"), "", "")
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace("candidate", "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     last = F.lower(F.regexp_extract("before", r"([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*$", 1))
     first = F.lower(F.regexp_extract("after", r"^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)", 1))
     slot = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit("\x00"))), F.lit(HASHED)).cast("double")

@@ -4,12 +4,13 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from docketlake.llm import chat, decontamination, private_data, sharding, simhash_dedup
-from docketlake.llm.queries import QUERIES
+from docketlake.llm.queries import ORACLES, QUERIES
 
 OPS = [n for n in QUERIES if n != "pipeline"]
 
@@ -28,6 +29,16 @@ def test_pipeline_on_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ORACLES)
+def test_sql_agrees_on_nulls_blanks_and_repeats(spark, small, name):
+    base = duckdb.connect()
+    for table in ("documents", "conversations"):
+        base.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{small}/{table}.parquet/*.parquet')")
+    answer, got = base.sql(ORACLES[name]), QUERIES[name](spark, small)
+    assert sorted(answer.columns) == sorted(got.columns)
+    assert sorted(answer.fetchall(), key=repr) == sorted(map(tuple, got.select(*answer.columns).collect()), key=repr)
+
+
 def test_quality_base_metrics(spark, small):
     texts = {r["doc_id"]: r["text"] or "" for r in rows(spark.read.parquet(f"{small}/documents.parquet"))}
     found = rows(QUERIES["op2_quality_rules"](spark, small))
@@ -55,6 +66,44 @@ def test_private_base_spans(spark, small):
     assert found[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_by_pattern(text):
+    """Per kind the spans of the contract's patterns, failing matches dropped."""
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.group().split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15)]
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in rules for m in re.finditer(p, text) if ok(m)]
+
+
+def test_private_data_on_all_documents(spark, sf_dir, small):
+    for folder in (sf_dir, small):
+        texts = {}
+        for r in rows(spark.read.parquet(f"{folder}/documents.parquet")):
+            texts.setdefault(r["doc_id"], r["text"] or "")
+        kinds = Counter()
+        for r in rows(QUERIES["op3_private_data"](spark, folder)):
+            want = base_by_pattern(texts[r["doc_id"]])
+            counts = Counter(w.split(":")[0] for w in want)
+            assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+            assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [counts[k] for k in private_data.BASE]
+            assert [s for s in r["spans"].split(",") if s][:len(want)] == want
+            kinds += counts
+        assert folder == small or all(kinds[k] for k in private_data.BASE)
+
+
+def test_card_and_phone_edges(spark):
+    texts = ["4111 1111 1111 1111", "4111-1111-1111-1112", "4111  1111 1111 1111", "0" * 19, "0" * 20, "+1 (555) 010-9999 x", "+1234567", "+1-", "++4930 123456-", "x4111111111111111- +44.20.7946.0958 4111"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in rows(frame.select("i", private_data.base_spans(frame["t"]).alias("s"))):
+        assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["s"]] == base_by_pattern(texts[r["i"]])
+
+
 def test_simhash_groups(spark, small):
     found = rows(QUERIES["op4_simhash_near_dedup"](spark, small))
     fps = [int(r["fingerprint"], 16) for r in found]
