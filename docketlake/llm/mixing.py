@@ -125,9 +125,12 @@ def mix_documents(spark, docs, sf_dir):
     held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
     held = held.withColumn("size", F.coalesce(F.regexp_count(at["text"], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint"))
     held = held.withColumn("key", F.xxhash64(F.col(at["doc_id"]), F.col(at["source"]), F.col("size")))
-    taken = mix(docs.select("doc_id", "source", "text")).select(F.xxhash64("doc_id", "source", "size").alias("key_of"), "m", "whole")
-    rows = held.join(taken, held["key"] == taken["key_of"])
-    place = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    taken = mix(docs.select("doc_id", "source", "text")).select(
+        F.xxhash64("doc_id", "source", "size").alias("key_of"), F.col("doc_id").alias("doc_of"), F.col("source").alias("source_of"), F.col("size").alias("size_of"), "m", "whole")
+    # Joined on the hash; the values themselves keep rows apart whose hashes are equal by chance.
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("doc_of")) & F.col(at["source"]).eqNullSafe(F.col("source_of")) & (F.col("size") == F.col("size_of"))
+    rows = held.join(taken, (held["key"] == taken["key_of"]) & same)
+    place = F.row_number().over(Window.partitionBy("key", at["doc_id"], at["source"], "size").orderBy("key"))
     share = F.floor(F.col("whole") / F.col("m")) + (place <= F.pmod("whole", "m")).cast("bigint")
     alone, several = rows.filter("m = 1").withColumn("share", F.col("whole")), rows.filter("m > 1").withColumn("share", share)
     out = alone.unionByName(several).filter("share > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("share"))))
