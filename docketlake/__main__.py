@@ -19,6 +19,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--output", required=True)
     parser.add_argument("--year", type=int, nargs="*", default=[])
     parser.add_argument("--judge-id", type=int, default=None)
+    parser.add_argument("--judges", nargs="*", default=[], help="ask judge by judge; captures lie in COURT/YEAR/JUDGE")
     parser.add_argument("--judge-name", default=None)
     parser.add_argument("--category", default=None)
     parser.add_argument("--limit", type=int, default=None)
@@ -28,17 +29,24 @@ def main(argv: list[str] | None = None) -> None:
     spark = local_session()
     spark.dataSource.register(ListingSource)
     options = {"court": args.court, "captures": args.captures, "years": ",".join(map(str, args.year))}
-    pages = spark.read.format("court_listing").options(**options).load()
+    if args.judges:
+        options["judges"] = ",".join(args.judges)
+    # Pages are stored first, so that each request is made once.
+    store = f"{args.output}/{args.court.lower()}_pages"
+    asked = spark.read.format("court_listing").options(**options).load()
+    asked.write.mode("overwrite").parquet(store)
+    pages = spark.read.schema(asked.schema).parquet(store)
     # Requests that failed are part of the result: a run is complete only if this table is empty.
-    failed = pages.filter("html is null").select("court", "year", "page", "error")
+    failed = pages.filter("html is null").select("court", "year", "judge", "page", "error")
     failed.write.mode("overwrite").json(f"{args.output}/{args.court.lower()}_failed_requests")
     pages = pages.filter("html is not null").withColumns(
-        {"judge_id": F.lit(args.judge_id), "judge_name": F.coalesce(F.lit(args.judge_name), F.concat(F.lit("Judge "), F.lit(args.judge_id).cast("string")))}
-    )
+        {"judge_id": F.coalesce(F.lit(args.judge_id), F.expr("try_cast(judge AS INT)")),
+         "judge_name": F.coalesce(F.lit(args.judge_name), F.concat(F.lit("Judge "), F.coalesce(F.lit(args.judge_id).cast("string"), "judge")))}
+    ).drop("judge")
     found = crawl(pages, args.court, args.limit, args.category, args.limit_per_year)
     # Texts are fetched by a transport the caller supplies; listings alone have none.
     results = found.withColumns({"text": F.lit(""), "text_length": F.lit(0), "error": F.lit(None).cast("string"), "source": F.lit(args.court.lower())})
-    write_run(results, args.output, args.court)
+    write_run(results, args.output, args.court, failed)
 
 
 if __name__ == "__main__":

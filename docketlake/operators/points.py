@@ -108,8 +108,9 @@ SPREAD = 32
 
 
 def latest(points: DataFrame, version: str) -> DataFrame:
-    """Last version of each point."""
-    rank = F.row_number().over(Window.partitionBy("point_uuid").orderBy(F.desc(version)))
+    """Last version of each point; of equal versions the one whose columns hash lowest, so that reruns agree."""
+    tie = F.xxhash64(*[f.name for f in points.schema.fields if f.dataType.typeName() not in ("map", "variant")])
+    rank = F.row_number().over(Window.partitionBy("point_uuid").orderBy(F.desc(version), tie))
     return points.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank")
 
 

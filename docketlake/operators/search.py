@@ -128,12 +128,14 @@ def search_hybrid(
     points: DataFrame, query: str, embed: Callable[[str], Sequence[float]] | Sequence[float],
     limit: int = 10, where: Column | None = None, dense_limit: int | None = None,
     sparse_limit: int | None = None, rrf_k: int = RRF_K, key: str = "point_uuid",
-    dense: str = "dense", sparse: str = "sparse",
+    dense: str = "dense", sparse: str = "sparse", show: Sequence[str] = tuple(RESULT_FIELDS),
 ) -> DataFrame:
     """Dense and sparse legs fused by rank; filters act inside the legs.
 
     A leg fetches LEG_LIMIT rows, or ``limit`` if that is more, unless told otherwise;
-    rows without a leg's vector are left out of that leg alone. Result: (key, score). A query without terms leaves the sparse leg empty.
+    rows without a leg's vector are left out of that leg alone. A query without terms leaves
+    the sparse leg empty. Result: key, score and the ``show`` fields that points have, looked
+    up for the ``limit`` rows found.
     """
     vector = embed(query) if callable(embed) else embed
     dense_limit, sparse_limit = (given or max(limit, LEG_LIMIT) for given in (dense_limit, sparse_limit))
@@ -141,7 +143,10 @@ def search_hybrid(
         search_dense(points.select(*_needed(points, key, dense, where)), vector, dense_limit, where, key=key, vector=dense),
         search_sparse(points.select(*_needed(points, key, sparse, where)), query, sparse_limit, where, key=key, vector=sparse),
     ]
-    return fuse([leg.select(key, "score") for leg in legs], key, limit, rrf_k)
+    found = fuse([leg.select(key, "score") for leg in legs], key, limit, rrf_k)
+    shown = [f for f in show if f in points.columns and f != key]
+    # At most ``limit`` rows are broadcast to the scan of the fields.
+    return _top(points.select(key, *shown).join(F.broadcast(found), key), key, limit) if shown else found
 
 
 def _needed(points: DataFrame, key: str, vector: str, where: Column | None) -> list[str]:

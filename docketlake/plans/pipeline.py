@@ -15,7 +15,7 @@ from docketlake.operators.dedup import first_by_url, first_per_group, limit_per_
 from docketlake.operators.embedding import HashingEmbedder, embed_column
 from docketlake.operators.extraction import TIER_A, extract_tier_a
 from docketlake.operators.layouts import TIER_B, TIER_C, VOCABULARIES
-from docketlake.operators.points import build_points, upsert
+from docketlake.operators.points import build_points, reject_reason, upsert
 from docketlake.operators.quality import validate
 from docketlake.operators.reports import counts_by_each, fill_rate, run_summary
 from docketlake.operators.search import with_sparse
@@ -74,11 +74,14 @@ def crawl(pages: DataFrame, court: str, limit: int | None = None, category: str
     return limit_rows(unique, limit, keep)
 
 
-def write_run(results: DataFrame, path: str, court: str) -> None:
-    """JSON lines with nulls kept, and the summary beside them."""
+def write_run(results: DataFrame, path: str, court: str, failed: DataFrame | None = None) -> None:
+    """JSON lines with nulls kept, and the summary beside them; ``failed`` requests are counted in it."""
     results.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/results")
     stored = results.sparkSession.read.schema(results.schema).json(f"{path}/results")
-    run_summary(stored).write.mode("overwrite").json(f"{path}/summary")
+    summary = run_summary(stored)
+    if failed is not None:
+        summary = summary.withColumn("failed_requests", failed.agg(F.count("*")).scalar())
+    summary.write.mode("overwrite").json(f"{path}/summary")
     groups = COURTS[court][2]
     if groups:
         counts_by_each(stored, groups).write.mode("overwrite").json(f"{path}/counts")
@@ -141,17 +144,30 @@ def summarize(docs: DataFrame, factory: Callable[[], object], into: str = "summa
     return out.withColumn(into, passes.parse_summary(F.col("__s"))).drop("__request", "__s", "__s_error")
 
 
+# What a stored point carries of its judgment: display fields and every field that filters may name.
 PAYLOAD = ["case_title", "case_type", "court_level", "jurisdiction_province", "date_judgment", "judge_names", "ppc_sections"]
+CLASSIFIED = ["judgment_type", "offense_category", "severity_level", "special_law", "appeal_outcome", "sentence_type"]
+
+
+def _gated(extracted: DataFrame) -> DataFrame:
+    gated = validate(extracted, TIER_A, payload="tier_a")
+    return gated.withColumn("case_number", F.coalesce("case_number", "tier_a.case_number"))
 
 
 def to_points(extracted: DataFrame, embedder: Callable[[], object] = HashingEmbedder) -> DataFrame:
-    """Extracted judgments that pass the gate → points with both vectors."""
-    gated = validate(extracted, TIER_A, payload="tier_a").filter("report.passed")
-    flat = gated.withColumns({f: F.col(f"tier_a.{f}") for f in PAYLOAD} | {"judgment_type": F.col("tier_b.judgment_type")})
-    flat = flat.withColumn("case_number", F.coalesce("case_number", "tier_a.case_number"))
-    points = build_points(flat, [*PAYLOAD, "judgment_type"], tier_c="tier_c", reasoning="points")
+    """Extracted judgments that pass the gate → points with both vectors. The others are in ``rejected``."""
+    fields = {f: F.col(f"tier_a.{f}") for f in PAYLOAD} | {f: F.col(f"tier_b.{f}") for f in CLASSIFIED}
+    flat = _gated(extracted).filter("report.passed").withColumns(fields)
+    points = build_points(flat, list(fields), tier_c="tier_c", reasoning="points")
     return embed_column(with_sparse(points), "text", embedder)
 
 
+def rejected(extracted: DataFrame) -> DataFrame:
+    """The judgments that ``to_points`` leaves out, with ``reject_reason``: the gate's errors, or why no key can be made."""
+    key = reject_reason(F.col("text"), F.col("court"), F.col("case_number"))
+    failed = F.when(~F.col("report.passed"), F.array_join("report.errors", "; ")).otherwise(key)
+    return _gated(extracted).withColumn("reject_reason", failed).filter("reject_reason is not null").drop("report")
+
+
 def ingest(spark: SparkSession, points: DataFrame, path: str, version: int) -> None:
     upsert(spark, points.withColumn("version", F.lit(version)), path, "version")

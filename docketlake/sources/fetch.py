@@ -28,11 +28,11 @@ def fetch(
 ) -> DataFrame:
     """Adds ``content`` and ``fetch_error``; rows without a link get neither.
 
-    ``factory`` makes a function url → bytes once per task. A rate limit is shared
-    out over the partitions, so a host with most of the rows needs no single task.
+    ``factory`` makes a function url → bytes once per task. A rate limit is shared out
+    over the tasks that can run at once, so a host with most of the rows needs no single task.
     """
     schema = StructType([*df.schema.fields, StructField("content", BinaryType()), StructField("fetch_error", StringType())])
-    share = requests_per_second and requests_per_second / max(1, df.rdd.getNumPartitions())
+    share = requests_per_second and requests_per_second / df.sparkSession.sparkContext.defaultParallelism
 
     def one(get, link) -> tuple[bytes | None, str | None]:
         for attempt in range(1, tries + 1):

@@ -6,7 +6,8 @@
 
 ``transport`` names a function (request: dict) → (body, has_next). Without a network
 a directory of captured pages stands in: ``captures=/path`` reads
-COURT/YEAR/PAGE.html. Paging stops at the last page or an empty
+COURT/YEAR/PAGE.html, or COURT/YEAR/JUDGE/PAGE.html where judges are asked for one by one
+(``judges="3,7"``: a partition per year and judge, each failing alone). Paging stops at the last page or an empty
 one; a page that fails is an error row and the next is tried. ``max_pages``, if given,
 leaves an error row where it cuts.
 """
@@ -23,22 +24,24 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 # Requests that may fail one after another before a year is given up, with an error row each.
 MAX_FAILURES = 3
 # The request defaults of the sites.
-DATE_RANGE = ("2001-01-01", "2026-12-31")
+START_DATE = "2001-01-01"
 SEARCH_MODES = {"case": 1, "court": 2, "judge": 3}
 
 
-def request_for(options: dict[str, str], year: int | None, page: int) -> dict:
+def request_for(options: dict[str, str], year: int | None, page: int, judge: str | None = None) -> dict:
     """What is asked for: only the given criteria, with each site's defaults."""
     court = options["court"]
     request: dict = {"court": court, "page": page}
     if year is not None:
         request["year"] = year
-    if options.get("judge"):
-        request["judge"] = options["judge"]
+    if judge or options.get("judge"):
+        request["judge"] = judge or options["judge"]
     if court == "BHC":
         request["searchBy"] = SEARCH_MODES[options.get("search", "judge")]
-        request["sDate"] = options.get("start_date", DATE_RANGE[0])
-        request["eDate"] = options.get("end_date", DATE_RANGE[1])
+        request["sDate"] = options.get("start_date", START_DATE)
+        # Without an end date the latest judgments are asked for as well.
+        if options.get("end_date"):
+            request["eDate"] = options["end_date"]
     if court == "IHC":
         flag = "1" if options.get("kind", "reported") == "reported" else "0"
         request |= {"PAFR": flag, "PLANDMARK": flag}
@@ -52,7 +55,9 @@ class Captures:
         self.root = root
 
     def _path(self, request: dict, page: int) -> str:
-        return os.path.join(self.root, request["court"], str(request.get("year", "all")), f"{page}.html")
+        folder = os.path.join(self.root, request["court"], str(request.get("year", "all")))
+        own = os.path.join(folder, str(request.get("judge", "")))
+        return os.path.join(own if request.get("judge_alone") else folder, f"{page}.html")
 
     def __call__(self, request: dict) -> tuple[str, bool]:
         with open(self._path(request, request["page"]), encoding="utf-8") as file:
@@ -61,8 +66,8 @@ class Captures:
 
 
 class _Request(InputPartition):
-    def __init__(self, year: int | None):
-        self.year = year
+    def __init__(self, year: int | None, judge: str | None = None):
+        self.year, self.judge = year, judge
 
 
 class ListingReader(DataSourceReader):
@@ -70,6 +75,7 @@ class ListingReader(DataSourceReader):
         self.options = options
         years = options.get("years", "")
         self.years: list[int | None] = [int(y) for y in years.split(",") if y] or [None]
+        self.judges: list[str | None] = [j.strip() for j in options.get("judges", "").split(",") if j.strip()] or [None]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -81,7 +87,7 @@ class ListingReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_Request(y) for y in self.years] or [_Request(-1)]
+        return [_Request(y, j) for y in self.years for j in self.judges] or [_Request(-1)]
 
     def _transport(self):
         if "captures" in self.options:
@@ -92,17 +98,20 @@ class ListingReader(DataSourceReader):
     def read(self, partition: _Request) -> Iterator[tuple]:
         if partition.year == -1:
             return
+        court, year, judge = self.options["court"], partition.year, partition.judge
         get, failures = self._transport(), 0
         most = int(self.options["max_pages"]) if self.options.get("max_pages") else None
         for page in itertools.count(1):
             if most is not None and page > most:
-                yield (self.options["court"], partition.year, page, None, f"max_pages: not read beyond page {most}")
+                yield (court, year, page, None, f"max_pages: not read beyond page {most}", judge)
                 return
-            request = request_for(self.options, partition.year, page)
+            request = request_for(self.options, year, page, judge)
+            if judge:
+                request["judge_alone"] = True
             try:
                 body, more = get(request)
             except Exception as error:
-                yield (self.options["court"], partition.year, page, None, f"{type(error).__name__}: {error}")
+                yield (court, year, page, None, f"{type(error).__name__}: {error}", judge)
                 failures += 1
                 # A year without a first page has no further ones.
                 if page == 1 or failures == MAX_FAILURES:
@@ -110,7 +119,7 @@ class ListingReader(DataSourceReader):
                 continue
             failures = 0
             if body:
-                yield (self.options["court"], partition.year, page, body, None)
+                yield (court, year, page, body, None, judge)
             if not more or not body:
                 return
 
@@ -121,7 +130,7 @@ class ListingSource(DataSource):
         return "court_listing"
 
     def schema(self) -> str:
-        return "court string, year int, page int, html string, error string"
+        return "court string, year int, page int, html string, error string, judge string"
 
     def reader(self, schema) -> ListingReader:
         return ListingReader(dict(self.options))

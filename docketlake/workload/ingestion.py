@@ -56,8 +56,7 @@ def points_parsed(spark, sf_dir):
 def point_checks(spark, sf_dir):
     """Counts per point type and the structural warnings, per case."""
     parsed = P.parse_points(_answers(spark, sf_dir, POINTS_ANSWER))
-    rows = parsed.select("o_orderkey", F.explode_outer("points").alias("p")).select("o_orderkey", "p.point_type")
-    counts = point_type_counts(rows, "o_orderkey", "point_type", POINT_TYPES)
+    counts = point_type_counts(parsed.select("o_orderkey", "points"), "points", "point_type", POINT_TYPES)
     return counts.select("o_orderkey", "facts", "issue", "court_reasoning", "final_order", F.array_join("warnings", "; ").alias("warnings"))
 
 

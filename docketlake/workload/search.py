@@ -79,6 +79,17 @@ def hybrid_rrf(spark, sf_dir):
     return S.format_results(found, "doc_id").select("id", "score")
 
 
+def hybrid_filtered(spark, sf_dir):
+    """Hybrid search among the texts of some languages, hits with their six display fields."""
+    docs = points(spark, sf_dir).withColumns({
+        "case_number": F.concat(F.lit("D "), F.col("doc_id").cast("string")), "case_title": F.concat_ws("/", "lang", "doc_id"),
+        "court_level": F.col("lang"), "case_type": F.concat(F.lit("type "), (F.col("doc_id") % 5).cast("string")),
+        "date_judgment": F.concat(F.lit("20"), F.lpad((F.col("doc_id") % 24).cast("string"), 2, "0")),
+        "judgment_type": F.when(F.col("doc_id") % 3 > 0, "order")})
+    where = S.build_filter(docs, court_level=LANGS)
+    return S.format_results(S.search_hybrid(docs, QUERY, example_vector(spark, sf_dir), 30, where, key="doc_id"), "doc_id")
+
+
 def term_frequency(spark, sf_dir):
     """Per document: distinct terms, all terms, and a digest of the term vector."""
     docs = S.with_sparse(documents(spark, sf_dir, "doc_id", "text"))
@@ -125,21 +136,31 @@ QUERIES = {
     "dense_topk": dense_topk,
     "dense_filtered_threshold": dense_filtered_threshold,
     "hybrid_rrf": hybrid_rrf,
+    "hybrid_filtered": hybrid_filtered,
     "term_frequency": term_frequency,
     "corpus_vocabulary": corpus_vocabulary,
     "quantized_vectors": quantized_vectors,
 }
+
+
+def _hybrid_sql(where: str, leg: int, limit: int) -> str:
+    """(doc_id, s): the fused best of both legs."""
+    return f"""WITH pts AS (SELECT d.*, e.embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE {where}),
+      dense AS (SELECT doc_id, s AS score FROM (SELECT doc_id, {_cos('embedding')} AS s FROM pts WHERE embedding IS NOT NULL) ORDER BY s DESC, doc_id LIMIT {leg}),
+      sparse AS ({_sparse_sql("pts", leg)}),
+      ranked AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part FROM dense
+        UNION ALL SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM sparse)
+      SELECT doc_id, sum(part::DOUBLE) AS s FROM ranked GROUP BY doc_id ORDER BY s DESC, doc_id LIMIT {limit}"""
+
+
 ORACLES = {
     "sparse_topk_filtered": _sparse_sql("(SELECT * FROM documents WHERE lang IN ('en', 'de'))", 10),
     "dense_topk": f"SELECT vec_id, label, round(s, 4) AS score FROM (SELECT *, {_cos('embedding')} AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10",
     "dense_filtered_threshold": f"SELECT vec_id, label, round(s, 4) AS score FROM (SELECT *, {_cos('embedding')} AS s FROM embeddings WHERE label IN (1, 2, 3)) WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 25",
-    "hybrid_rrf": f"""WITH pts AS (SELECT d.*, e.embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
-      dense AS (SELECT doc_id, s AS score FROM (SELECT doc_id, {_cos('embedding')} AS s FROM pts WHERE embedding IS NOT NULL) ORDER BY s DESC, doc_id LIMIT 20),
-      sparse AS ({_sparse_sql("pts", 20)}),
-      ranked AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part FROM dense
-        UNION ALL SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM sparse)
-      SELECT doc_id AS id, round(s, 4) AS score FROM (SELECT doc_id, sum(part::DOUBLE) AS s FROM ranked GROUP BY doc_id)
-      ORDER BY s DESC, doc_id LIMIT 10""",
+    "hybrid_rrf": f"SELECT doc_id AS id, round(s, 4) AS score FROM ({_hybrid_sql('true', 20, 10)})",
+    "hybrid_filtered": f"""SELECT doc_id AS id, round(s, 4) AS score, 'D ' || doc_id AS case_number, lang || '/' || doc_id AS case_title, lang AS court_level,
+      'type ' || (doc_id % 5) AS case_type, '20' || lpad((doc_id % 24)::VARCHAR, 2, '0') AS date_judgment, CASE WHEN doc_id % 3 > 0 THEN 'order' END AS judgment_type
+      FROM ({_hybrid_sql("lang IN ('en', 'de')", 30, 30)}) JOIN documents USING (doc_id)""",
     "term_frequency": f"""SELECT d.doc_id, coalesce(count(t.idx), 0) AS n_terms, coalesce(sum(t.tf), 0) AS n_tokens,
       coalesce(sum(t.idx % 1000 * t.tf::BIGINT), 0)::BIGINT AS digest
       FROM documents d LEFT JOIN ({_terms_sql('documents', 'doc_id')}) t USING (doc_id) GROUP BY d.doc_id""",

@@ -7,9 +7,9 @@ import pytest
 from docketlake.__main__ import main
 from docketlake.operators import points as Pt
 from docketlake.operators.passes import Recorded
-from docketlake.operators.search import build_filter, format_results, search_hybrid
+from docketlake.operators.search import INDEXED_FIELDS, build_filter, format_results, search_hybrid
 from docketlake.operators.embedding import embed_query
-from docketlake.plans.pipeline import extract, ingest, to_points
+from docketlake.plans.pipeline import extract, ingest, rejected, to_points
 from docketlake.sources import fetch as Ft
 from docketlake.sources.listing import ListingSource, request_for
 from docketlake.streaming.incremental import admissions, admit, start_new_texts
@@ -39,7 +39,19 @@ def test_listing_source_and_cli(spark, tmp_path):
     rows = spark.read.json(f"{out}/results").collect()
     assert sorted(r.serial for r in rows) == [1, 2, 4, 5]  # the second a.pdf is a repeat
     summary = json.loads(next(open(os.path.join(out, "summary", f)).read() for f in os.listdir(f"{out}/summary") if f.endswith(".json")))
-    assert summary["total"] == 4 and summary["with_text"] == 0
+    assert summary["total"] == 4 and summary["with_text"] == 0 and summary["failed_requests"] == 0
+
+
+def test_each_judge_is_asked_alone(spark, tmp_path):
+    capture(tmp_path, "PHC", "2020/3", 1, [ROW.format(n=1, c="Civil", u="a.pdf")])
+    capture(tmp_path, "PHC", "2020/3", 2, [ROW.format(n=2, c="Civil", u="b.pdf")])
+    capture(tmp_path, "PHC", "2020/9", 1, [ROW.format(n=3, c="Civil", u="c.pdf")])
+    out = str(tmp_path / "out")
+    main(["crawl", "--court", "PHC", "--captures", str(tmp_path), "--output", out, "--year", "2020", "--judges", "3", "7", "9"])
+    assert sorted(r.serial for r in spark.read.json(f"{out}/results").collect()) == [1, 2, 3]
+    failed = spark.read.json(f"{out}/phc_failed_requests").collect()
+    assert [(r.judge, r.page) for r in failed] == [("7", 1)]
+    assert spark.read.json(f"{out}/summary").first().failed_requests == 1
 
 
 def test_failing_and_cut_pages_leave_error_rows():
@@ -61,7 +73,8 @@ def test_failing_and_cut_pages_leave_error_rows():
 
 def test_request_defaults():
     assert request_for({"court": "BHC", "judge": "7"}, None, 1) == {
-        "court": "BHC", "page": 1, "judge": "7", "searchBy": 3, "sDate": "2001-01-01", "eDate": "2026-12-31"}
+        "court": "BHC", "page": 1, "judge": "7", "searchBy": 3, "sDate": "2001-01-01"}
+    assert request_for({"court": "BHC", "end_date": "2020-01-01"}, None, 1)["eDate"] == "2020-01-01"
     assert request_for({"court": "IHC", "kind": "important"}, 2020, 2)["PAFR"] == "0"
 
 
@@ -99,11 +112,18 @@ def test_extract_ingest_search_twice(spark, tmp_path):
     ingest(spark, points, store, 2)
     assert Pt.collection_info(spark, store) == info and info["points_count"] % 3 == 0
     stored = spark.read.parquet(store)
+    # Every judgment is either stored or rejected with a reason.
+    bad = rejected(extracted.withColumn("text", F.when(F.col("judgment_id") == 1, "").otherwise(F.col("text")))).collect()
+    assert 1 in {r.judgment_id for r in bad} and all(r.reject_reason for r in bad)
+    left = {r.judgment_id for r in rejected(extracted).collect()}
+    assert len(left) + stored.select("parent_case_id").distinct().count() == docs.count()
     assert stored.agg(F.min("version")).first()[0] == 2
     where = build_filter(stored, point_type=["full_text", "chunk"], ppc_sections=302)
     found = search_hybrid(stored, "section 302 PPC appeal", embed_query("section 302 PPC appeal"), 5, where)
-    hits = format_results(found.join(stored, "point_uuid")).collect()
-    assert hits and all(h.id for h in hits)
+    assert set(INDEXED_FIELDS) <= set(stored.columns)
+    hits = format_results(found).collect()
+    assert hits and all(h.id and h.case_number and h.judgment_type == "acquittal" for h in hits)
+    assert stored.filter(build_filter(stored, offense_category="state", sentence_type=["life"])).count() == 0
     kept = {r.point_uuid for r in stored.filter("array_contains(ppc_sections, 302)").collect()}
     assert {h.id for h in hits} <= kept
     assert search_hybrid(stored, "1 2", embed_query("x"), 3).count() == 3
