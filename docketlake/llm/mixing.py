@@ -18,7 +18,7 @@ for words; sources without words have target 0. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.llm.common import stage, uniform, with_small
@@ -118,20 +118,27 @@ def op9_mixing(spark, sf_dir):
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("bigint").alias("taken"), copies.cast("int").alias("copies"))
 
 
+def _joined(doc_id: Column, source: Column, size: Column) -> dict[str, Column]:
+    """Columns without nulls that tell documents apart as the mix does: a hash, and the values behind it."""
+    return {"key": F.xxhash64(doc_id, source, size), "no_id": doc_id.isNull(), "id": F.coalesce(doc_id, F.lit(0)),
+            "no_source": source.isNull(), "of": F.coalesce(source, F.lit("")), "n": size}
+
+
 def mix_documents(spark, docs, sf_dir):
-    """Pipeline stage: every document as often as the mix takes it, columns unchanged."""
+    """Pipeline stage: every document as often as the mix takes it, columns unchanged.
+
+    Texts pass one shuffle; repeated rows share their copies where the join has brought them together.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
     held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
-    held = held.withColumn("size", F.coalesce(F.regexp_count(at["text"], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint"))
-    held = held.withColumn("key", F.xxhash64(F.col(at["doc_id"]), F.col(at["source"]), F.col("size")))
-    taken = mix(docs.select("doc_id", "source", "text")).select(
-        F.xxhash64("doc_id", "source", "size").alias("key_of"), F.col("doc_id").alias("doc_of"), F.col("source").alias("source_of"), F.col("size").alias("size_of"), "m", "whole")
-    # Joined on the hash; the values themselves keep rows apart whose hashes are equal by chance.
-    same = F.col(at["doc_id"]).eqNullSafe(F.col("doc_of")) & F.col(at["source"]).eqNullSafe(F.col("source_of")) & (F.col("size") == F.col("size_of"))
-    rows = held.join(taken, (held["key"] == taken["key_of"]) & same)
-    place = F.row_number().over(Window.partitionBy("key", at["doc_id"], at["source"], "size").orderBy("key"))
-    share = F.floor(F.col("whole") / F.col("m")) + (place <= F.pmod("whole", "m")).cast("bigint")
-    alone, several = rows.filter("m = 1").withColumn("share", F.col("whole")), rows.filter("m > 1").withColumn("share", share)
-    out = alone.unionByName(several).filter("share > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("share"))))
+    size = F.coalesce(F.regexp_count(at["text"], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+    held = held.withColumn("size", size)
+    own = _joined(F.col(at["doc_id"]), F.col(at["source"]), F.col("size"))
+    taken = mix(docs.select("doc_id", "source", "text")).filter("whole > 0")
+    taken = taken.select(*[c.alias(k) for k, c in _joined(F.col("doc_id"), F.col("source"), F.col("size")).items()], "m", "whole")
+    rows = held.select(*names, *[c.alias(k) for k, c in own.items()]).join(taken, list(own))
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("key"))
+    rows = rows.withColumn("share", F.floor(F.col("whole") / F.col("m")) + (place <= F.pmod("whole", "m")).cast("bigint"))
+    out = rows.filter("share > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("share"))))
     return out.select(*[F.col(n).alias(c) for c, n in at.items()])
