@@ -112,15 +112,19 @@ def op4_simhash_near_dedup(spark, sf_dir):
 
 
 def keep_one(spark, docs, sf_dir):
-    """Pipeline stage: of each group the document with the smallest id (then fingerprint) stays, once."""
+    """Pipeline stage: of each group the document with the smallest id (then fingerprint) stays, once.
+
+    Ids, fingerprints and text hashes are staged, texts are not: they pass one shuffle, to
+    meet the documents that stay. Rows that repeat an id and a text are ranked where it put them.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
+    doc_id, text = F.col(at["doc_id"]), F.col(at["text"])
     held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
-    held = stage(fingerprints(held.withColumn("__t", F.col(at["text"])), "__t", *names), "simhash-docs")
-    of = grouped(held.select(F.col(at["doc_id"]).alias("doc_id"), "fp"))
-    stays = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp")).alias("s"))
-    stays = stays.select(F.col("s.doc_id").alias("id_of"), F.col("s.fp").alias("fp_of"))
-    kept = held.join(stays, (F.col(at["doc_id"]).eqNullSafe(F.col("id_of"))) & (F.col("fp") == F.col("fp_of")))
-    # Rows that repeat an id and a fingerprint are ranked where the join has brought them together.
-    first = F.row_number().over(Window.partitionBy("fp", at["doc_id"]).orderBy(at["doc_id"]))
+    held = held.select(*names, doc_id.isNull().alias("unknown"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"))
+    same = ["unknown", "id", "h"]
+    prints = stage(fingerprints(held, at["text"], at["doc_id"], *same).withColumnRenamed(at["doc_id"], "doc_id"), "simhash-docs")
+    stays = grouped(prints).groupBy("root").agg(F.min(F.struct("unknown", "id", "fp", "h")).alias("s"))
+    kept = held.join(stays.select(*[F.col(f"s.{c}").alias(c) for c in same]), same)
+    first = F.row_number().over(Window.partitionBy(*same).orderBy("h"))
     return kept.withColumn("place", first).filter("place = 1").select(*[F.col(n).alias(c) for c, n in at.items()])
