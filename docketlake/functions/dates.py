@@ -55,9 +55,8 @@ def parse_date(text: Column) -> Column:
 
 
 def first_date(candidates: list[Column]) -> Column:
-    """Date of the first candidate text that holds one."""
-    dates = F.transform(F.array(*candidates), parse_date)
-    return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
+    """Date of the first candidate text that holds one; later candidates are not looked for."""
+    return F.coalesce(*(F.get(F.transform(F.array(c), parse_date), F.lit(0)) for c in candidates))
 
 
 def all_dates(text: Column) -> Column:

@@ -24,10 +24,12 @@ def rx(pattern: str, flags: str = "") -> str:
 def first(text: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
     """Group of the first match, null when there is none.
 
-    Taken from the list of all matches: unlike a comparison with '', that names the
-    expression once, so nested uses stay small and nothing is matched twice.
+    The match takes the rest of the text with it, so that the list of all matches ends
+    there. Unlike a comparison with '', a list names the expression once: nested uses
+    stay small and nothing is matched twice.
     """
-    return F.get(every(text, pattern, group, flags), F.lit(0))
+    held = f"({pattern})" if group == 0 else f"(?:{pattern})"
+    return F.get(every(text, held + "(?s:.*)", max(group, 1), flags), F.lit(0))
 
 
 def every(text: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
