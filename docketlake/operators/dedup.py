@@ -44,24 +44,26 @@ def priority_union(preferred: DataFrame, other: DataFrame, key: str) -> DataFram
     )
 
 
+# Tasks that rows without a key may be dealt over.
+KEYLESS_SPREAD = 1024
+
+
 def flag_known(df: DataFrame, known: DataFrame, key: str, flag: str, spread: int = 1) -> DataFrame:
     """Adds ``flag``: whether ``key`` occurs in ``known`` (one column of the same name).
 
     Known keys are reduced to distinct ones first. Spark broadcasts them when their
     measured size allows and otherwise joins by shuffle, where run-time re-planning
     splits an oversized key. ``spread`` > 1 also deals the rows of every key over
-    that many partitions, for sessions where re-planning is off.
+    that many partitions, for sessions where re-planning is off. Rows without a key
+    match nothing and are dealt out by their other columns, so they never meet in one task.
     """
     keys = known.select(F.col(key).alias("__key")).filter(F.col(key).isNotNull()).distinct()
-    keys = keys.withColumn("__known", F.lit(True))
-    match = df[key] == keys["__key"]
-    if spread > 1:
-        df = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(spread)).cast("int"))
-        salts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-        keys = keys.withColumn("__key_salt", salts)
-        match = (df[key] == keys["__key"]) & (df["__salt"] == keys["__key_salt"])
-    joined = df.join(keys, match, "left")
-    out = joined.withColumn(flag, F.coalesce(F.col("__known"), F.lit(False)))
+    keys = keys.withColumn("__known", F.lit(True)).withColumn("__key_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    row = F.xxhash64(*[f"`{f.name}`" for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")])
+    deal = F.pmod(row, F.when(F.col(key).isNull(), F.lit(KEYLESS_SPREAD)).otherwise(F.lit(spread))).cast("int")
+    df = df.withColumn("__salt", deal)
+    match = (df[key] == keys["__key"]) & (df["__salt"] == keys["__key_salt"])
+    out = df.join(keys, match, "left").withColumn(flag, F.coalesce(F.col("__known"), F.lit(False)))
     return out.drop("__key", "__known", "__salt", "__key_salt")
 
 
