@@ -1,11 +1,9 @@
-"""Streams: first-seen texts, idempotent point loads, request admission."""
+"""Streams: first-seen texts and idempotent point loads."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -45,43 +43,3 @@ def start_upserts(points: DataFrame, path: str, checkpoint: str, version: str, *
 
     writer = points.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-ADMITTED = "domain string, request_id bigint, ts timestamp, waited double, granted_at timestamp"
-
-
-def admit(tokens: float, clock: float, at: float, rate: float, burst: float) -> tuple[float, float, float]:
-    """(tokens left, grant time, wait) of one request; a lack of tokens waits 1/rate."""
-    now = max(at, clock)
-    tokens = min(burst, tokens + (now - clock) * rate)
-    if tokens < 1.0:
-        now += 1.0 / rate
-        tokens = min(burst, tokens + 1.0)
-    return tokens - 1.0, now, now - at
-
-
-def admissions(requests: DataFrame, rate: float = 2.0, burst: int | None = None) -> DataFrame:
-    """Token-bucket admission per domain over a stream of (domain, request_id, ts).
-
-    State is two numbers per domain; rows pass through in arrival order and are never
-    held together. ``burst`` defaults to one second's worth of tokens.
-    """
-    if rate <= 0:
-        raise ValueError(f"rate must be positive, got {rate}")
-    size = float(burst or max(1, int(rate)))
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tokens, clock = state.get if state.exists else (size, float("-inf"))
-        for batch in batches:
-            out = []
-            for request, ts in zip(batch["request_id"], batch["ts"]):
-                at = ts.timestamp()
-                start = at if clock == float("-inf") else clock
-                tokens, clock, waited = admit(tokens, start, at, rate, size)
-                out.append((key[0], request, ts, waited, pd.Timestamp(clock, unit="s")))
-            yield pd.DataFrame(out, columns=["domain", "request_id", "ts", "waited", "granted_at"])
-        state.update((tokens, clock))
-
-    return requests.groupBy("domain").applyInPandasWithState(
-        run, ADMITTED, "tokens double, clock double", "append", "NoTimeout"
-    )

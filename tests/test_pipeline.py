@@ -12,7 +12,7 @@ from docketlake.operators.embedding import embed_query
 from docketlake.plans.pipeline import extract, ingest, rejected, to_points
 from docketlake.sources import fetch as Ft
 from docketlake.sources.listing import ListingSource, request_for
-from docketlake.streaming.incremental import admissions, admit, start_new_texts
+from docketlake.streaming.incremental import start_new_texts
 from docketlake.workload import judgments as J
 from pyspark.sql import functions as F
 
@@ -149,19 +149,3 @@ def test_stream_keeps_first_of_each_text(spark, tmp_path):
 
     assert load([(1, "A  b"), (2, "a B"), (3, "c"), (4, " ")]) == [1, 3]
     assert load([(5, "C"), (6, "d")]) == [1, 3, 6]
-
-
-def test_admissions_stream(spark, tmp_path):
-    source = str(tmp_path / "in")
-    rows = [("h", i, 0.0) for i in range(3)] + [("h", 3, 10.0), ("k", 4, 0.0)]
-    df = spark.createDataFrame(rows, "domain string, request_id long, t double")
-    df.select("domain", "request_id", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.json(source)
-    stream = spark.readStream.schema("domain string, request_id long, ts timestamp").json(source)
-    query = admissions(stream, 2.0).writeStream.format("memory").queryName("admitted").option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(90)
-    waits = {r.request_id: round(r.waited, 3) for r in spark.table("admitted").collect()}
-    assert waits == {0: 0, 1: 0, 2: 0.5, 3: 0, 4: 0}
-    assert admit(0.5, 0.0, 0.0, 5.0, 1.0) == (0.0, 0.2, 0.2)
-    with pytest.raises(ValueError):
-        admissions(stream, 0)
