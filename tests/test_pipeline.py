@@ -3,7 +3,6 @@
 import json
 import os
 
-import pytest
 from docketlake.__main__ import main
 from docketlake.operators import points as Pt
 from docketlake.operators.passes import Recorded
