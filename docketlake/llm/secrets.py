@@ -1,7 +1,10 @@
 """Secret scan: a random forest removes the false positives of a wide pattern.
 
-Candidates are runs of 16 and more letters, digits and ``_+/=-``; most are long words, names or
-paths. Features: length, changes of character class, distinct characters, digit and capital
+Candidates are runs of 16 and more letters, digits and ``_+/-`` (with base64 padding), most of
+them long words, names or paths, and the values of 4 and more characters assigned to a credential
+name: quoted ones up to their quote, bare ones up to a blank, quote, ``<``, ``>``, the next
+``name=`` of a query or the punctuation that ends a sentence. Addresses, further assignments and
+quoted sentences with a long run in them are searched inside instead. Features: length, changes of character class, distinct characters, digit and capital
 shares, how much of its letters the corpus' own words cover (dictionary coverage), the path or
 source it was found under (hashed), and its neighbours: an assignment or quote before it, the
 word before and the word behind it (hashed), a credential word nearby.
@@ -24,11 +27,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import stage
+from docketlake.llm.common import let, stage
 from docketlake.llm.spans import located
 
-PATTERN = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+=*+"
 CREDENTIAL_WORDS = "token secret password passwd pwd key api auth credential bearer".split()
+_WORDS, _RUN = "|".join(CREDENTIAL_WORDS), "[A-Za-z0-9_+/-]{16}"
+_NAME = rf"(?:{_WORDS})(?:s|[0-9]{{1,4}}|[_-][A-Za-z0-9_-]{{1,16}})?"
+_ASSIGN = r"[\\\"']{0,2}[\x20\t]{0,3}(?:=>|:=|=|:)[\x20\t]{0,3}\\?"
+_STOP = r"\s\"'`<>"
+# Every loop is possessive, so that long values need no stack and no second look.
+_BARE = rf"(?:(?![.,;:)\]}}]{{1,8}}(?:[{_STOP}]|\z))(?:[^{_STOP}&,;]|[&,;](?![A-Za-z0-9_.-]++=|{_RUN}))){{4,}}+"
+_QUOTED = "|".join(rf"(?<={q})(?:(?:[^{q}\s\\]|\\\S){{4,}}+(?={q})|(?![^{q}\r\n]*{_RUN})(?:[^{q}\r\n\\]|\\.){{4,}}+(?={q}))" for q in "\"'")
+# Cheap looks back come first: a character, then the sign of an assignment, then the name before it.
+_VALUE = (rf"(?<=[:=>\x20\t\\\"'])(?<=[:=>][\x20\t]{{0,3}}\\?[\"']?)(?<=(?i:{_NAME}){_ASSIGN}[\"']?)(?![=:>\s])"
+          rf"(?![A-Za-z][A-Za-z0-9+.-]*+://)(?!(?i:[A-Za-z0-9_-]{{0,20}}{_NAME})[=:])(?:{_QUOTED}|{_BARE})")
+PATTERN = rf"{_VALUE}|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{16,}}+(?:={{1,2}}+(?![A-Za-z0-9_+/=-]|[\"'][^\s,;)\]}}]))?+"
 HASHED, MIN_DOCS, TREES, DEPTH = 16, 5, 20, 6
 NUMBERS = ["length", "transitions", "distinct", "digits", "capitals", "coverage", "assigned", "quoted", "credential"]
 HASHES = ["path", "word_before", "word_after"]
@@ -37,6 +50,8 @@ HASHES = ["path", "word_before", "word_after"]
 def findings(docs: DataFrame, keys: list[str], path: str, text: str = "text") -> DataFrame:
     """Rows (keys, path, start, end, candidate, before, after)."""
     spans = located(F.coalesce(F.col(text), F.lit("")), PATTERN, 32)
+    # The name of an assignment may be a candidate itself; it still stands before its value.
+    spans = let(spans, lambda all_: F.transform(all_, lambda s, i: s.withField("before", F.right(F.concat(F.coalesce(F.get(all_, i - 1)["match"], F.lit("")), s["before"]), F.lit(32)))))
     held = docs.select(*keys, F.col(path).cast("string").alias("path"), spans.alias("found"))
     return held.select(*keys, "path", F.inline("found").alias("start", "end", "candidate", "before", "after"))
 
@@ -77,7 +92,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 
 def labelled_by_assignment(found: DataFrame) -> DataFrame:
     """Adds ``label``: 1 secret, 0 not, null unknown."""
-    secret = F.lower("before").rlike(rf"(?:{'|'.join(CREDENTIAL_WORDS)})\s*[=:]\s*[\"']$") & F.col("after").rlike("^[\"']")
+    secret = F.lower("before").rlike(rf"{_NAME}(?:\s*[=:]\s*|{_ASSIGN})[\"']$") & F.col("after").rlike("^[\"']")
     word = F.col("candidate").rlike("^[A-Za-z]+$") & ~F.col("before").rlike("[=:\"']\\s*$")
     return found.withColumn("label", F.when(secret, 1.0).when(word, 0.0))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docketlake.llm import chat, decontamination, private_data, sharding, simhash_dedup
+from docketlake.llm import chat, decontamination, private_data, secrets, sharding, simhash_dedup
 from docketlake.llm.queries import ORACLES, QUERIES
 
 OPS = [n for n in QUERIES if n != "pipeline"]
@@ -184,6 +184,24 @@ def test_secrets(spark, small):
     assert [r["candidate"] for r in found if r["secret"]] == ["0123456789abcdef0123456789abcdef01234567"]
 
 
+def test_secret_values_of_any_assignment(spark):
+    hexes, url, aws = "9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c", "c2lnbmF0dXJlLW9mLWEtdXJs", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    want = {
+        f"api_key={hexes}": [hexes], f"get /x?sig={url}==&n=1": [url + "=="], f"?token={hexes[:9]}&page=2": [hexes[:9]], f"AWS_SECRET_ACCESS_KEY={aws}": ["AWS_SECRET_ACCESS_KEY", aws],
+        f'AWS_SECRET_ACCESS_KEY="{aws}"': ["AWS_SECRET_ACCESS_KEY", aws], 'password = "hunter2!x"': ["hunter2!x"], "pwd: 'it is \\' s3cret'": ["it is \\' s3cret"],
+        '{"password": "p@ss, w0rd", "n": 1}': ["p@ss, w0rd"], "DB_PASSWORD=Ab&c,d;12!, then": ["Ab&c,d;12!"], "password: Abcdefghijklmnopq!rs.": ["Abcdefghijklmnopq!rs"],
+        f"api: https://h.io/?api_key={hexes}": [hexes], f"keys: {hexes},{aws}": [hexes, aws], f'token = "Bearer {hexes}"': ["Bearer", hexes],
+        f'"{url}=="': [url + "=="], 'key = "" or key == 1 pwd="x"': [], "the author: someone wrote": [], "key:" + "." * 50000: ["." * 49992], 'token="' + "a\\" * 50000: ["a\\" * 50000]}
+    frame = spark.createDataFrame([(i, "s", t) for i, t in enumerate(want)], "doc_id int, source string, text string")
+    found = {}
+    for r in sorted(rows(secrets.findings(frame, ["doc_id"], "source")), key=lambda r: r["start"]):
+        text = list(want)[r["doc_id"]]
+        assert text[r["start"]:r["end"]] == r["candidate"]
+        found.setdefault(text, []).append(r["candidate"])
+    assert {t[:60]: found.get(t, []) for t in want} == {t[:60]: w for t, w in want.items()}
+    assert [r["label"] for r in rows(secrets.labelled_by_assignment(secrets.findings(frame, ["doc_id"], "source"))) if r["candidate"] == aws and r["doc_id"] == 4] == [1.0]
+
+
 def test_pipeline_stages_keep_columns_and_clean_texts(spark, small):
     docs, kept = spark.read.parquet(f"{small}/documents.parquet"), {}
     columns = docs.columns
