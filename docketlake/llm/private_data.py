@@ -48,7 +48,8 @@ CANDIDATE = "|".join([
     r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{24,}+",
     rf"(?<!\p{{L}})(?:{_TITLE})\.?\x20\p{{Lu}}[\p{{L}}'-]+",
 ])
-_GUARD = rf"@|[0-9][0-9\x20()./-]{{5}}|[A-Za-z0-9_-]{{24}}|(?<!\p{{L}})(?:{_TITLE})\.?\x20\p{{Lu}}"
+# Holds wherever CANDIDATE has a match: a branch for each of its alternatives.
+_GUARD = rf"@|[0-9][0-9\x20()./-]{{5}}|[A-Za-z0-9_-]{{24}}|[:=](?<=(?i:{_CRED})\x20{{0,2}}[:=])|(?<!\p{{L}})(?:{_TITLE})\.?\x20\p{{Lu}}"
 LABELERS = ["pattern", "check", "gazetteer", "context", "shape"]
 FEATURES = ["kind", "length", "digits", "letters", "before_char", "after_char"]
 
