@@ -6,8 +6,8 @@ credentials, titled names) get votes (1 private, -1 not, 0 no opinion) from labe
 kinds: regular expressions, gazetteers and context words. Expectation-maximisation over the
 counted vote patterns (at most 3 ** 5 rows) estimates how reliable each labeler is and how
 probable each pattern is private; those soft labels train the span classifier, a naive Bayes
-model over shape features, which decides every candidate. Its spans join the base spans
-wherever they overlap none.
+model over shape features, which decides every candidate. Candidates are searched in the gaps
+between the base spans, so the spans of both never overlap.
 
 All of it is expressions and small aggregations: spans stay inside the row of their document,
 and what leaves it are counts per vote pattern and feature value. Null and empty texts have no
@@ -118,10 +118,16 @@ def _votes_and_features(s: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Candidates that overlap no base span, with votes and features."""
-    free = F.filter(located(text, CANDIDATE), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    """Candidates in the gaps between the base spans, with votes and features."""
+    # Base spans become characters that no candidate holds; all places stay.
+    blank = lambda t, b: F.overlay(t, F.repeat(F.lit("\x00"), (b["end"] - b["start"]).cast("int")), (b["start"] + 1).cast("int"))
+    gaps = F.when(F.size(base) > 0, F.aggregate(base, text, blank)).otherwise(text)
+    return let(gaps, _judgeable)
+
+
+def _judgeable(text: Column) -> Column:
     none = F.filter(F.array(_votes_and_features(F.struct(*[F.lit(0).cast("bigint").alias(n) for n in ("start", "end")], *[F.lit("0").alias(n) for n in ("match", "before", "after")]))), lambda c: F.lit(False))
-    return F.when(text.rlike(_GUARD), F.transform(free, _votes_and_features)).otherwise(none)
+    return F.when(text.rlike(_GUARD), F.transform(located(text, CANDIDATE), _votes_and_features)).otherwise(none)
 
 
 def reliabilities(patterns: DataFrame, rounds: int = 12) -> tuple[float, dict]:
