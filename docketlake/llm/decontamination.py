@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.common import stage
 
-WIDTH, SIMILARITY, RADIUS, BLOCKS, ITEM_BLOCK = 5, 0.8, 17, 6, 20_000
+WIDTH, SIMILARITY, RADIUS, BLOCKS, ITEM_BLOCK = 5, 0.8, 23, 6, 20_000
 #: Index rows (five numbers each) that may be broadcast.
 INDEX_ROWS = 400_000
 BITS = [11, 11, 11, 11, 10, 10]
