@@ -14,7 +14,8 @@ nothing. The shingles of the items travel to the tasks in blocks of ITEM_BLOCK i
 of the documents each, so their size is bounded whatever the benchmark has.
 
 Null and empty texts and items hold nothing and match nothing. Items of equal words are one
-class, reported under its smallest item_id. Repeated documents are reported row by row.
+class, reported under its smallest item_id; null if none of them has an id, and then every class
+is an item of its own. Repeated documents are reported row by row.
 """
 
 from __future__ import annotations
@@ -168,7 +169,8 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 def find_leaks(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Rows (keys, item_id, item_copies, start_word, n_words, distance, similarity): the best window per document and item."""
     spark = docs.sparkSession
-    items = stage(item_classes(bench), "bench-items")
+    # Classes are numbered once, before they are staged: an item's id may be null.
+    items = stage(item_classes(bench).withColumn("class", F.monotonically_increasing_id()), "bench-items")
     blocks = -(-items.count() // ITEM_BLOCK)
     held = docs.select(*keys, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "__text")
@@ -182,17 +184,17 @@ def find_leaks(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "
         windows = spark.createDataFrame([], f"{schema}, start_word long, n_words int, fp long, shingles array<long>")
     windows = stage(windows, "bench-windows")
     probes = windows.select("*", F.inline(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)])).alias("block", "value"))
-    index = filed(items.select("item_id", "n_words", "fp"))
+    index = filed(items.select("class", "n_words", "fp"))
     # A few numbers per near value; beyond the bound the two sides are shuffled on the block values.
     small = items.count() * sum(len(_near(b, RADIUS // BLOCKS)) for b in BITS) <= INDEX_ROWS
     index = F.broadcast(index) if small else index.hint("merge")
     met = (probes["n_words"] == index["n_words"]) & (probes["block"] == index["block"]) & (probes["value"] == index["value"])
     distance = F.bit_count(probes["fp"].bitwiseXOR(index["fp"]))
     close = probes.join(index, met & (distance <= RADIUS)).select(
-        *[probes[k] for k in keys], index["item_id"].alias("id_of"), probes["start_word"], distance.alias("distance"), probes["shingles"].alias("own"))
-    found = close.join(items, close["id_of"] == items["item_id"]).withColumn("similarity", weighted_jaccard(F.col("own"), F.col("shingles")))
+        *[probes[k] for k in keys], index["class"].alias("class_of"), probes["start_word"], distance.alias("distance"), probes["shingles"].alias("own"))
+    found = close.join(items, close["class_of"] == items["class"]).withColumn("similarity", weighted_jaccard(F.col("own"), F.col("shingles")))
     best = F.max(F.struct(F.col("similarity"), (-F.col("distance")).alias("near"), (-F.col("start_word")).alias("early"), "n_words", "item_copies")).alias("w")
-    return found.filter(F.col("similarity") >= SIMILARITY - 1e-12).groupBy(*keys, "item_id").agg(best).select(
+    return found.filter(F.col("similarity") >= SIMILARITY - 1e-12).groupBy(*keys, "item_id", F.when(F.col("item_id").isNull(), F.col("class")).alias("class_of")).agg(best).select(
         *keys, "item_id", "w.item_copies", (-F.col("w.early")).alias("start_word"), "w.n_words", (-F.col("w.near")).alias("distance"), F.round("w.similarity", 6).alias("similarity"))
 
 

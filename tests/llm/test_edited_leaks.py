@@ -22,3 +22,11 @@ def test_edited_items_at_the_bound_are_found(spark):
     docs = spark.createDataFrame([(i, "before it " + " ".join(pairs[i][1]) + " behind it") for i in sorted(set(some))], "doc_id long, text string")
     found = D.find_leaks(docs, items, ["doc_id"]).collect()
     assert sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in found) == [(i, i, 0.8) for i in sorted(set(some))]
+
+
+def test_items_without_an_id_are_found(spark):
+    a, b, c = (" ".join(edited(seed)[0]) for seed in (1, 2, 3))
+    items = spark.createDataFrame([(None, a), (None, a), (None, b), (None, c), (7, c)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a} y {b}"), (2, c), (3, "none of them")], "doc_id long, text string")
+    found = D.find_leaks(docs, items, ["doc_id"]).collect()
+    assert sorted((r["doc_id"], r["item_id"] or 0, r["item_copies"], r["start_word"]) for r in found) == [(1, 0, 1, 51), (1, 0, 2, 1), (2, 7, 2, 0)]
