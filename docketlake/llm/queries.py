@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docketlake.llm import chat, decontamination, mixing, private_data, quality_crf, quality_rules, secrets, sharding, simhash_dedup, toxicity
+from docketlake.llm import chat, decontamination, mixing, private_data, quality_crf, quality_rules, secrets, sharding, simhash_dedup, toxicity, vector_codes
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_quality_rules": quality_rules.RULES_SQL, "op5_chat_formatting": chat.CHAT_SQL}
+ORACLES = {"op2_quality_rules": quality_rules.RULES_SQL, "op5_chat_formatting": chat.CHAT_SQL, "op11_vector_codes": vector_codes.CODES_SQL}

@@ -21,12 +21,16 @@ def small(spark, tmp_path_factory):
     spark.createDataFrame([(5, 1, 0), (8, 0, 1), (9, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     turns = [(1, 1, "assistant", "b <|im_end|> \\ <\\|x|>"), (1, 0, "user", None), (1, 2, "assistant", "c\nd"), (1, 2, "assistant", "c\nd"), (None, None, None, "x"), (2, 0, "assistant", "")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.5] * 63 + [None], [0.5] * 63 + [nan], [-inf] + [0.5] * 63, [0.25] * 64, [0.25] * 64, [-0.0001] * 64]
+    vectors = [(i, v, None if i % 2 else 1) for i, v in enumerate(odd)] + [(i, [((i * 37 + j * 61) % 97) / 97 - 0.5 for j in range(64)], i % 3) for i in range(10, 30)]
+    spark.createDataFrame([*vectors, (None, [1.0] * 64, None)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 @pytest.fixture(scope="session")
 def empty(spark, small, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "benchmark", "labels", "conversations"):
+    for name in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{small}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder

@@ -32,7 +32,7 @@ def test_pipeline_on_empty_tables(spark, empty):
 @pytest.mark.parametrize("name", ORACLES)
 def test_sql_agrees_on_nulls_blanks_and_repeats(spark, small, name):
     base = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         base.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{small}/{table}.parquet/*.parquet')")
     answer, got = base.sql(ORACLES[name]), QUERIES[name](spark, small)
     assert sorted(answer.columns) == sorted(got.columns)
