@@ -307,7 +307,7 @@ def _round_sql(n: int) -> str:
 
 
 CODES_SQL = f"""WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)) AS v
-        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
       parts AS MATERIALIZED (SELECT *, list_dot_product(x, x) AS x2 FROM (SELECT r, p, v[p * 16 + 1:p * 16 + 16]::DOUBLE[] AS x FROM kept, range(4) t(p))),
       book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c, x2 AS c2 FROM parts WHERE r <= 256),
       {", ".join(_round_sql(n) for n in range(ROUNDS))},
