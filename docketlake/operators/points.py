@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docketlake.functions import identity as I
 from docketlake.functions.text import is_blank, strip
+from docketlake.operators.collection import Collection
 from docketlake.operators.segmentation import SINGLE_LIMIT, with_chunks
 
 _ENTRY = {
@@ -101,74 +102,27 @@ def _array_type() -> str:
 
 
 # ── collection ──
-# Points are stored by a bucket of their id: an update rewrites the buckets it touches.
-BUCKETS = 64
-# Tasks that may share the writing of one bucket.
-SPREAD = 32
+def upsert(spark: SparkSession, new: DataFrame, path: str, version: str) -> int:
+    """Writes points by id, the highest ``version`` wins; running it twice changes nothing. Returns the points added."""
+    return Collection(spark, path).upsert(new, version)
 
 
-def latest(points: DataFrame, version: str) -> DataFrame:
-    """Last version of each point; of equal versions the one whose columns hash lowest, so that reruns agree."""
-    tie = F.xxhash64(*[f.name for f in points.schema.fields if f.dataType.typeName() not in ("map", "variant")])
-    rank = F.row_number().over(Window.partitionBy("point_uuid").orderBy(F.desc(version), tie))
-    return points.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank")
-
-
-def with_bucket(points: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    return points.withColumn("bucket", F.pmod(F.xxhash64("point_uuid"), F.lit(buckets)).cast("int"))
-
-
-def upsert(spark: SparkSession, new: DataFrame, path: str, version: str, buckets: int = BUCKETS) -> None:
-    """Writes points by id, the highest ``version`` wins; running it twice changes nothing.
-
-    The new points are written beside the collection first, so they are computed once
-    however costly they are (embeddings, model calls). One write then replaces the
-    touched buckets and leaves the others. The list of touched buckets is at most
-    ``buckets`` long, whatever the number of points. One writer at a time.
-    """
-    staged = f"{path.rstrip('/')}.incoming"
-    incoming = with_bucket(latest(new, version), buckets)
-    incoming.write.mode("overwrite").partitionBy("bucket").parquet(staged)
-    merged = incoming = spark.read.schema(incoming.schema).parquet(staged)
-    touched = [r[0] for r in incoming.select("bucket").distinct().collect()]
-    if not touched:
-        return
-    if collection_exists(spark, path):
-        stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-        merged = latest(stored.unionByName(incoming, allowMissingColumns=True), version)
-    (
-        merged.repartition("bucket", F.pmod(F.xxhash64("point_uuid", F.lit(1)), F.lit(SPREAD))).write.mode("overwrite").partitionBy("bucket")
-        .option("partitionOverwriteMode", "dynamic").parquet(path)
-    )
-
-
-def _files(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    return Collection(spark, path).read()
 
 
 def collection_exists(spark: SparkSession, path: str) -> bool:
-    files, target = _files(spark, path)
-    return files.exists(target)
+    return Collection(spark, path).exists()
 
 
 def create_collection(spark: SparkSession, path: str, schema: StructType) -> bool:
     """Empty collection; False when it is there already."""
-    if collection_exists(spark, path):
-        return False
-    # An empty file in a bucket folder: the layout and schema that upserts expect.
-    spark.createDataFrame([], schema).write.parquet(f"{path.rstrip('/')}/bucket=0")
-    return True
+    return Collection(spark, path).create(schema)
 
 
 def delete_collection(spark: SparkSession, path: str) -> bool:
-    files, target = _files(spark, path)
-    return files.delete(target, True)
+    return Collection(spark, path).delete()
 
 
 def collection_info(spark: SparkSession, path: str) -> dict:
-    if not collection_exists(spark, path):
-        return {"exists": False}
-    stored = spark.read.parquet(path)
-    counted = stored.agg(F.count("*"), F.count("dense") if "dense" in stored.columns else F.lit(0)).first()
-    return {"exists": True, "points_count": counted[0], "indexed_vectors_count": counted[1], "status": "green"}
+    return Collection(spark, path).info()

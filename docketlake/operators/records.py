@@ -137,6 +137,15 @@ def islamabad_api(responses: DataFrame, body: str = "body") -> DataFrame:
     return rows.select(*keep, "api_error", "__r.*").filter(F.col("O_ID").isNotNull() | F.col("api_error").isNotNull())
 
 
+def islamabad_judges(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Judges dimension from API responses of the same wrapping; rows without an id are left out."""
+    inner = F.get_json_object(F.col(body), "$.d")
+    items = F.from_json(F.when(strip(inner).startswith("["), inner), "array<struct<JUDGE_ID:bigint,JUG_REALNAME:string,ISRETIRED:int>>")
+    rows = responses.select(F.explode(items).alias("r")).filter("r.JUDGE_ID IS NOT NULL")
+    name = F.coalesce(F.nullif(strip(F.col("r.JUG_REALNAME")), F.lit("")), F.lit("Unknown"))
+    return rows.select(F.col("r.JUDGE_ID").alias("judge_id"), name.alias("judge_name"), F.coalesce(F.col("r.ISRETIRED") != 0, F.lit(False)).alias("retired"))
+
+
 def islamabad(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Needs column judgment_type (reported, important or keyword_search)."""
     g = _reader(df)

@@ -10,12 +10,16 @@ COURT/YEAR/PAGE.html, or COURT/YEAR/JUDGE/PAGE.html where judges are asked for o
 (``judges="3,7"``: a partition per year and judge, each failing alone). Paging stops at the last page or an empty
 one; a page that fails is an error row and the next is tried. ``max_pages``, if given,
 leaves an error row where it cuts.
+
+``requests="[[2020, \"3\"], [2021, null]]"`` names (year, judge) pairs instead, one partition each; their last
+row has page 0 if all of their pages were read. ``approved_only`` asks for approved judgments alone.
 """
 
 from __future__ import annotations
 
 import importlib
 import itertools
+import json
 import os
 from collections.abc import Iterator
 
@@ -36,6 +40,8 @@ def request_for(options: dict[str, str], year: int | None, page: int, judge: str
         request["year"] = year
     if judge or options.get("judge"):
         request["judge"] = judge or options["judge"]
+    if options.get("approved_only", "").lower() == "true":
+        request["approved_only"] = True
     if court == "BHC":
         request["searchBy"] = SEARCH_MODES[options.get("search", "judge")]
         request["sDate"] = options.get("start_date", START_DATE)
@@ -57,7 +63,8 @@ class Captures:
     def _path(self, request: dict, page: int) -> str:
         folder = os.path.join(self.root, request["court"], str(request.get("year", "all")))
         own = os.path.join(folder, str(request.get("judge", "")))
-        return os.path.join(own if request.get("judge_alone") else folder, f"{page}.html")
+        folder = own if request.get("judge_alone") else folder
+        return os.path.join(folder, "approved" if request.get("approved_only") else "", f"{page}.html")
 
     def __call__(self, request: dict) -> tuple[str, bool]:
         with open(self._path(request, request["page"]), encoding="utf-8") as file:
@@ -76,18 +83,20 @@ class ListingReader(DataSourceReader):
         years = options.get("years", "")
         self.years: list[int | None] = [int(y) for y in years.split(",") if y] or [None]
         self.judges: list[str | None] = [j.strip() for j in options.get("judges", "").split(",") if j.strip()] or [None]
+        self.pairs = [(y, j) for y, j in json.loads(options["requests"])] if options.get("requests") else None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("year",):
-                self.years = [y for y in self.years if y == f.value]
-            elif isinstance(f, In) and f.attribute == ("year",):
-                self.years = [y for y in self.years if y in f.value]
+            wanted = (f.value,) if isinstance(f, EqualTo) else f.value if isinstance(f, In) else ()
+            if isinstance(f, EqualTo | In) and f.attribute == ("year",):
+                self.years = [y for y in self.years if y in wanted]
+                self.pairs = self.pairs and [p for p in self.pairs if p[0] in wanted]
             else:
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_Request(y, j) for y in self.years for j in self.judges] or [_Request(-1)]
+        pairs = [(y, j) for y in self.years for j in self.judges] if self.pairs is None else self.pairs
+        return [_Request(y, j) for y, j in pairs] or [_Request(-1)]
 
     def _transport(self):
         if "captures" in self.options:
@@ -99,7 +108,7 @@ class ListingReader(DataSourceReader):
         if partition.year == -1:
             return
         court, year, judge = self.options["court"], partition.year, partition.judge
-        get, failures = self._transport(), 0
+        get, failures, whole = self._transport(), 0, True
         most = int(self.options["max_pages"]) if self.options.get("max_pages") else None
         for page in itertools.count(1):
             if most is not None and page > most:
@@ -112,7 +121,7 @@ class ListingReader(DataSourceReader):
                 body, more = get(request)
             except Exception as error:
                 yield (court, year, page, None, f"{type(error).__name__}: {error}", judge)
-                failures += 1
+                failures, whole = failures + 1, False
                 # A year without a first page has no further ones.
                 if page == 1 or failures == MAX_FAILURES:
                     return
@@ -121,7 +130,9 @@ class ListingReader(DataSourceReader):
             if body:
                 yield (court, year, page, body, None, judge)
             if not more or not body:
-                return
+                break
+        if self.pairs is not None and whole:
+            yield (court, year, 0, None, None, judge)
 
 
 class ListingSource(DataSource):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docketlake.workload import extraction, ingestion, listings, relational, search, segments
+from docketlake.workload import extraction, ingestion, listings, relational, search, segments, stored
 
 FLAGSHIP = "hybrid_rrf"
-_MODULES = (search, relational, listings, segments, ingestion, extraction)
+_MODULES = (search, relational, listings, segments, ingestion, extraction, stored)
 
 
 def queries() -> dict:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from docketlake.operators import passes as P
 from docketlake.operators.extraction import TIER_A, extract_tier_a
 from docketlake.operators.layouts import POINT_TYPES
-from docketlake.operators.points import build_points, latest
+from docketlake.operators.collection import latest
+from docketlake.operators.points import build_points
 from docketlake.operators.reports import fill_rate, point_type_counts
 from docketlake.workload import duck as Q
 from docketlake.workload import judgments as J

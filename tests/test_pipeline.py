@@ -110,7 +110,7 @@ def test_extract_ingest_search_twice(spark, tmp_path):
     info = Pt.collection_info(spark, store)
     ingest(spark, points, store, 2)
     assert Pt.collection_info(spark, store) == info and info["points_count"] % 3 == 0
-    stored = spark.read.parquet(store)
+    stored = Pt.read_collection(spark, store)
     # Every judgment is either stored or rejected with a reason.
     bad = rejected(extracted.withColumn("text", F.when(F.col("judgment_id") == 1, "").otherwise(F.col("text")))).collect()
     assert 1 in {r.judgment_id for r in bad} and all(r.reject_reason for r in bad)
