@@ -4,27 +4,32 @@ Every document gets a few integer metrics (rates per 10,000 words or characters)
 distribution per (language, source) is kept as a sketch: counts per log-linear bucket, exact
 below 64 and within 1/32 above. Sketches are ordinary rows, so merging is adding counts, and
 partial sketches are merged before the shuffle whatever the size of a source. A language's own
-sketch is the merged one of its sources. Upper fences (a high quantile base plus a multiple of
-the spread above the median) replace fixed cutoffs; documents are then joined to their fences.
+sketch is the merged one of its sources.
 
-Sketches of small groups say little: below ``min_rows`` documents a source uses the sketch of
-its language, and a language below it the sketch of everything.
+Documents that fail the base rule say nothing about ordinary ones and are in no sketch.
+An upper fence is a high quantile plus a multiple of its distance from the median; METRICS says
+which quantile and multiple. Nothing else decides: a distribution that moves takes its fence along.
+Small groups lean on larger ones without a switch: a language's counts are joined by PRIOR documents
+spread as all documents are, a source's by PRIOR documents spread as its language's. So the weight
+of what a group itself says grows smoothly with its size. Documents are then joined to their fences.
 
 Null or empty texts have zero words and fail the base rule; null languages and sources form
-groups of their own. Repeated rows are judged alike, row by row. Empty tables give no rows.
+groups of their own. Repeated rows are judged alike, row by row. Empty tables give no rows. Texts
+of any length are measured whole, in n log n. Other columns are neither read nor changed by
+``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.llm.common import SYMBOLS, let, stage, with_small, words
 
-#: Metrics that are judged, each only from above.
-METRICS = ["symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "word_length"]
-#: The smallest upper fence of each metric: spreads near zero don't make ordinary texts outliers.
-FLOORS = {"symbol_rate": 300, "dup_line_rate": 3000, "repeat_rate": 3000, "upper_rate": 1500, "word_length": 1500}
+#: Metrics that are judged, each only from above: the quantile and the multiple of its distance from the median.
+METRICS = {"symbol_rate": (0.8, 6), "dup_line_rate": (0.99, 1), "repeat_rate": (0.99, 1), "upper_rate": (0.99, 3), "word_length": (0.8, 9)}
+#: Documents' worth of the larger group's distribution in each group's own.
+PRIOR = 100
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SCAN_BELOW = 64
 
@@ -116,46 +121,57 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """One row per key: documents seen and the upper fence of each metric.
+def blended(sketch: DataFrame, keys: list[str], larger: DataFrame, shared: list[str]) -> DataFrame:
+    """The sketches of ``keys`` with PRIOR documents spread as in the sketch of their ``shared`` keys in ``larger``."""
+    whole = Window.partitionBy(*shared, "metric")
+    spread = larger.select(*[F.col(k).alias(f"of_{k}") for k in shared], F.col("metric").alias("of_metric"), "bucket", (PRIOR * F.col("n") / F.sum("n").over(whole)).alias("n"))
+    groups = sketch.select(*keys, "metric").distinct()
+    on = [groups["metric"] == spread["of_metric"], *[groups[k].eqNullSafe(spread[f"of_{k}"]) for k in shared]]
+    prior = groups.join(spread, on).select(*keys, "metric", "bucket", "n")
+    return merged(sketch.withColumn("n", F.col("n").cast("double")).unionByName(prior), keys)
 
-    Fence: the median plus ``reach`` times the distance to the upper quartile, at least the
-    metric's floor. A sketch holds a few hundred buckets at most, so a key's sketch is one small array.
-    """
+
+def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: the upper fence of each metric. A key's sketch is one array of a few hundred buckets at most."""
     sorted_ = F.sort_array(F.collect_list(F.struct("bucket", "n")))
-    per = sketch.groupBy(*keys, "metric").agg(sorted_.alias("s"), F.sum("n").alias("rows"))
+    per = sketch.groupBy(*keys, "metric").agg(sorted_.alias("s"))
 
-    def quantile(q: float) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(-1).alias("at"))
+    def quantile(q: Column) -> Column:
+        total = F.aggregate("s", F.lit(0.0), lambda a, b: a + b["n"])
+        start = F.struct(F.lit(0.0).alias("seen"), F.lit(-1).alias("at"))
+        # Sums of shares are rounded; a hair's breadth below the quantile counts as reached.
         step = lambda a, b: F.struct(
             (a["seen"] + b["n"]).alias("seen"),
-            F.when((a["at"] < 0) & (a["seen"] + b["n"] >= F.ceil(F.col("rows") * q)), b["bucket"]).otherwise(a["at"]).alias("at"))
+            F.when((a["at"] < 0) & ((a["seen"] + b["n"]) * (1 + 1e-9) >= total * q), b["bucket"]).otherwise(a["at"]).alias("at"))
         return F.aggregate("s", start, step, lambda a: bucket_top(a["at"]))
 
-    per = per.select(*keys, "metric", "rows", quantile(0.5).alias("mid"), quantile(0.75).alias("high"))
-    fence = lambda m: F.max(F.when(F.col("metric") == m, F.greatest(
-        F.col("mid") + F.floor((F.col("high") - F.col("mid")) * F.lit(reach)), F.lit(FLOORS[m]).cast("bigint"))))
-    return per.groupBy(*keys).agg(F.max("rows").alias("rows"), *[fence(m).alias(f"most_{m}") for m in METRICS])
+    of = lambda i: F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, float(v[i]))])[F.col("metric")]
+    per = per.withColumns({"high": quantile(of(0)), "mid": quantile(F.lit(0.5)), "reach": of(1)})
+    fence = F.col("high") + F.floor((F.col("high") - F.col("mid")) * F.col("reach"))
+    return per.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, fence)).alias(f"fence_{m}") for m in METRICS])
+
+
+def base_failed() -> Column:
+    return (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
+
 
+def limits(measures: DataFrame) -> DataFrame:
+    """Staged (lang, source, fence per metric) of measured documents; none for groups that fail the base rule as a whole."""
+    by_source = stage(sketches(measures.filter(~base_failed()), ["lang", "source"]), "quality-sketch")
+    by_lang = merged(by_source, ["lang"])
+    by_lang = stage(blended(by_lang, ["lang"], merged(by_source, []), []), "language-sketch")
+    return stage(fences(blended(by_source, ["lang", "source"], by_lang, ["lang"]), ["lang", "source"]), "quality-fences")
 
-def with_verdict(measures: DataFrame, reach: float = 6.0, min_rows: int = 200) -> DataFrame:
+
+def with_verdict(measures: DataFrame) -> DataFrame:
     """Adds base_failed, reasons (metrics beyond their fence) and kept to measured documents.
 
     ``measures`` should be staged: it is read once for the sketches and once for the verdict.
     """
-    by_source = stage(sketches(measures, ["lang", "source"]), "quality-sketch")
-    limits = fences(by_source, ["lang", "source"], reach)
-    of_lang = fences(merged(by_source, ["lang"]), ["lang"], reach)
-    of_all = fences(merged(by_source, []), [], reach).first()  # one row of a few numbers
-    of_lang = of_lang.select("lang", F.col("rows").alias("lang_rows"), *[F.col(f"most_{m}").alias(f"lang_{m}") for m in METRICS])
-    limits = with_small(limits, of_lang, of_lang.count(), ["lang"])
-    chosen = [F.when(F.col("rows") >= min_rows, F.col(f"most_{m}")).when(F.col("lang_rows") >= min_rows, F.col(f"lang_{m}"))
-              .otherwise(F.lit(of_all[f"most_{m}"])).alias(f"fence_{m}") for m in METRICS]
-    limits = stage(limits.select("lang", "source", *chosen), "quality-fences")
-    judged = with_small(measures, limits, limits.count(), ["lang", "source"])
-    failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
+    known = limits(measures)
+    judged = with_small(measures, known, known.count(), ["lang", "source"])
     beyond = F.array_compact(F.array(*[F.when(F.col(f"m.{m}") > F.col(f"fence_{m}"), F.lit(m)) for m in METRICS]))
-    return judged.withColumn("base_failed", failed).withColumn("reasons", beyond) \
+    return judged.withColumn("base_failed", base_failed()).withColumn("reasons", beyond) \
         .withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).drop(*[f"fence_{m}" for m in METRICS])
 
 
@@ -185,23 +201,32 @@ def _sql_rates() -> str:
         "CAST(100 * word_chars // greatest(n_words, 1) AS BIGINT) AS word_length"])
 
 
-def _sql_fences(keys: str, name: str) -> str:
-    """Fences per key, a row per metric: cumulated counts give the buckets of the two quantiles."""
-    own = f"{keys}, " if keys else ""
+def _sql_blend(name: str, keys: str, own: str, larger: str, shared: str) -> str:
+    """Sketches of ``keys`` with a share of the larger group's."""
+    on = " AND ".join(["g.metric = l.metric", *[f"g.{k} IS NOT DISTINCT FROM l.{k}" for k in shared.split() if k]])
+    return f"""
+{name} AS (SELECT {keys}, metric, bucket, sum(n) AS n FROM (SELECT {keys}, metric, bucket, n::DOUBLE AS n FROM {own}
+  UNION ALL SELECT {", ".join("g." + k.strip() for k in keys.split(","))}, g.metric, l.bucket, {PRIOR} * l.share FROM (SELECT DISTINCT {keys}, metric FROM {own}) g JOIN
+    (SELECT *, n / sum(n) OVER (PARTITION BY {", ".join([*shared.split(), "metric"])}) AS share FROM {larger}) l ON {on}) GROUP BY ALL)"""
+
+
+def _sql_fences() -> str:
+    """A row per source and metric: cumulated counts give the buckets of the two quantiles."""
     top = "((({0} - (CASE WHEN {0} < 64 THEN 0 ELSE {0} // 32 - 1 END) * 32) + 1) << (CASE WHEN {0} < 64 THEN 0 ELSE {0} // 32 - 1 END)) - 1".format
-    floors = " ".join(f"WHEN '{m}' THEN {v}" for m, v in FLOORS.items())
+    of = lambda i: "CASE metric " + " ".join(f"WHEN '{m}' THEN {v[i]}" for m, v in METRICS.items()) + " END"
+    reached = "seen * (1 + 1e-9) >= total *"
     return f"""
-{name}_sums AS (SELECT {own}metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
-{name}_run AS (SELECT *, sum(n) OVER (PARTITION BY {own}metric ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY {own}metric) AS total FROM {name}_sums),
-{name}_at AS (SELECT {own}metric, CAST(max(total) AS BIGINT) AS total, min(bucket) FILTER (seen >= ceil(total * 0.5)) AS mid, min(bucket) FILTER (seen >= ceil(total * 0.75)) AS high
-  FROM {name}_run GROUP BY ALL),
-{name} AS (SELECT {own}metric, total, greatest({top('mid')} + 6 * (({top('high')}) - ({top('mid')})), CASE metric {floors} END) AS fence FROM {name}_at)"""
+run AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM by_source),
+spots AS (SELECT lang, source, metric, min(bucket) FILTER ({reached} 0.5) AS mid, min(bucket) FILTER ({reached} {of(0)}) AS high FROM run GROUP BY ALL),
+fences AS (SELECT lang, source, metric, {top('high')} + {of(1)} * (({top('high')}) - ({top('mid')})) AS fence FROM spots)"""
 
 
 RULES_SQL = fr"""
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
-split AS (SELECT *, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') AS w,
-  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM texts),
+split AS (SELECT *, list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM texts),
 placed AS (SELECT rid, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM split),
 windows AS (SELECT rid, i, a, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c FROM placed WINDOW p AS (PARTITION BY rid ORDER BY i)),
 again AS (SELECT rid, i FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
@@ -211,15 +236,16 @@ base AS (SELECT rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CA
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
   length(text) - length(regexp_replace(text, '\p{{Lu}}{{2,}}', '', 'g')) AS n_upper, len(lines) AS n_lines
   FROM split LEFT JOIN covered USING (rid)),
-rated AS (SELECT *, {_sql_rates()} FROM base),
-metrics AS (SELECT rid, lang, source, unnest([{", ".join(f"'{m}'" for m in METRICS)}]) AS metric, unnest([{", ".join(METRICS)}]) AS value FROM rated),
+rated AS (SELECT *, {_sql_rates()}, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS failed FROM base),
+metrics AS (SELECT rid, lang, source, failed, unnest([{", ".join(f"'{m}'" for m in METRICS)}]) AS metric, unnest([{", ".join(METRICS)}]) AS value FROM rated),
 sketch AS (SELECT lang, source, metric, bucket, count(*) AS n FROM (
-  SELECT *, (greatest(length(bin(value)) - 6, 0) * 32 + (value >> CAST(greatest(length(bin(value)) - 6, 0) AS BIGINT))) AS bucket FROM metrics) GROUP BY ALL),
-{_sql_fences("lang, source", "own")}, {_sql_fences("lang", "of_lang")}, {_sql_fences("", "of_all")},
+  SELECT *, (greatest(length(bin(value)) - 6, 0) * 32 + (value >> CAST(greatest(length(bin(value)) - 6, 0) AS BIGINT))) AS bucket FROM metrics WHERE NOT failed) GROUP BY ALL),
+of_lang AS (SELECT lang, metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
+of_all AS (SELECT metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
+{_sql_blend("by_lang", "lang", "of_lang", "of_all", "")}, {_sql_blend("by_source", "lang, source", "sketch", "by_lang", "lang")}, {_sql_fences()},
 judged AS (SELECT rid, string_agg(m.metric, ',' ORDER BY list_position([{", ".join(f"'{m}'" for m in METRICS)}], m.metric)) AS reasons
-  FROM metrics m JOIN own o ON m.metric = o.metric AND m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source
-  JOIN of_lang l ON m.metric = l.metric AND m.lang IS NOT DISTINCT FROM l.lang JOIN of_all e ON m.metric = e.metric
-  WHERE m.value > CASE WHEN o.total >= 200 THEN o.fence WHEN l.total >= 200 THEN l.fence ELSE e.fence END GROUP BY rid)
+  FROM metrics m JOIN fences f ON m.metric = f.metric AND m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
+  WHERE m.value > f.fence GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
   NOT failed AND reasons IS NULL AS kept, coalesce(reasons, '') AS reasons
-FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS failed FROM rated LEFT JOIN judged USING (rid))"""
+FROM rated LEFT JOIN judged USING (rid)"""
