@@ -7,8 +7,8 @@ partial sketches are merged before the shuffle whatever the size of a source. A
 sketch is the merged one of its sources.
 
 Documents that fail the base rule say nothing about ordinary ones and are in no sketch.
-An upper fence is a high quantile plus a multiple of its distance from the median; METRICS says
-which quantile and multiple. Nothing else decides: a distribution that moves takes its fence along.
+An upper fence is a high quantile plus a multiple of its distance from the median (at least the
+width of a bucket, the sketch's resolution there); METRICS says which quantile and multiple. Nothing else decides: a distribution that moves takes its fence along.
 Small groups lean on larger ones without a switch: a language's counts are joined by PRIOR documents
 spread as all documents are, a source's by PRIOR documents spread as its language's. So the weight
 of what a group itself says grows smoothly with its size. Documents are then joined to their fences.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from docketlake.llm.common import SYMBOLS, let, stage, with_small, words
 
 #: Metrics that are judged, each only from above: the quantile and the multiple of its distance from the median.
-METRICS = {"symbol_rate": (0.8, 6), "dup_line_rate": (0.99, 1), "repeat_rate": (0.99, 1), "upper_rate": (0.99, 3), "word_length": (0.8, 9)}
+METRICS = {"symbol_rate": (0.8, 6), "dup_line_rate": (0.99, 1), "repeat_rate": (0.99, 1), "upper_rate": (0.99, 3), "word_length": (0.8, 12)}
 #: Documents' worth of the larger group's distribution in each group's own.
 PRIOR = 100
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -103,11 +103,18 @@ def bucket(value: Column) -> Column:
     return (shift * 32 + F.call_function("shiftright", value.cast("bigint"), shift)).cast("int")
 
 
+def _shift(b: Column) -> Column:
+    return F.when(b < 64, F.lit(0)).otherwise(F.floor(b / 32) - 1).cast("int")
+
+
 def bucket_top(b: Column) -> Column:
     """The largest value of a bucket."""
-    shift = F.when(b < 64, F.lit(0)).otherwise(F.floor(b / 32) - 1).cast("int")
-    lead = b - shift * 32
-    return F.call_function("shiftleft", (lead + 1).cast("bigint"), shift) - 1
+    return F.call_function("shiftleft", (b - _shift(b) * 32 + 1).cast("bigint"), _shift(b)) - 1
+
+
+def bucket_width(b: Column) -> Column:
+    """How many values a bucket holds."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), _shift(b))
 
 
 def sketches(measures: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,11 +150,13 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
         step = lambda a, b: F.struct(
             (a["seen"] + b["n"]).alias("seen"),
             F.when((a["at"] < 0) & ((a["seen"] + b["n"]) * (1 + 1e-9) >= total * q), b["bucket"]).otherwise(a["at"]).alias("at"))
-        return F.aggregate("s", start, step, lambda a: bucket_top(a["at"]))
+        return F.aggregate("s", start, step, lambda a: a["at"])
 
     of = lambda i: F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, float(v[i]))])[F.col("metric")]
     per = per.withColumns({"high": quantile(of(0)), "mid": quantile(F.lit(0.5)), "reach": of(1)})
-    fence = F.col("high") + F.floor((F.col("high") - F.col("mid")) * F.col("reach"))
+    # Distances below the sketch's resolution are not known; a bucket's width stands for them.
+    far = F.greatest(bucket_top(F.col("high")) - bucket_top(F.col("mid")), bucket_width(F.col("high")))
+    fence = bucket_top(F.col("high")) + F.floor(far * F.col("reach"))
     return per.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, fence)).alias(f"fence_{m}") for m in METRICS])
 
 
@@ -218,7 +227,7 @@ def _sql_fences() -> str:
     return f"""
 run AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM by_source),
 spots AS (SELECT lang, source, metric, min(bucket) FILTER ({reached} 0.5) AS mid, min(bucket) FILTER ({reached} {of(0)}) AS high FROM run GROUP BY ALL),
-fences AS (SELECT lang, source, metric, {top('high')} + {of(1)} * (({top('high')}) - ({top('mid')})) AS fence FROM spots)"""
+fences AS (SELECT lang, source, metric, {top('high')} + {of(1)} * greatest(({top('high')}) - ({top('mid')}), 1 << (CASE WHEN high < 64 THEN 0 ELSE high // 32 - 1 END)) AS fence FROM spots)"""
 
 
 RULES_SQL = fr"""
