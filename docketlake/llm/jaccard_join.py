@@ -7,12 +7,13 @@ one group, so copies and near copies post their prefix once. A posting list hold
 with a token; what passes the filters of size and position is expanded to members and verified
 on the whole sets, so that the sketch and the filters never decide a result.
 
-Components need not see all pairs of a family of near copies. In round 1 every posting is
-compared with the head of its list, and every member with the first of its group; lists of
-frequent tokens are dealt over SPREAD parts whose heads are compared with the list's. What links
-is contracted. In round 2 only members of different components meet: per list, those outside the
-list's largest component meet all others. Each pair that could still join two components is
-verified there; pairs inside a component can change nothing.
+Components need not see all pairs of a family of near copies. First every posting is compared
+with the head of its list, the group with fewest rarer tokens, hence closest to the others, and
+every member with the first of its group; lists of frequent tokens are dealt over SPREAD parts
+whose heads are compared with the list's. What links is contracted. From then on only members of
+different components meet: per list, those outside the list's largest component are compared
+with its first 8, then 64 units, if lists are heavy, and at last with all others. Each pair that
+could still join two components is verified; pairs inside a component can change nothing.
 
 Null and blank texts have no set and link with nothing; texts of fewer words than a shingle are
 one shingle. A-Z count as a-z, words are runs of anything but ASCII blanks. Ids may be null or
@@ -37,6 +38,8 @@ WIDTH, PERCENT = 5, 80
 COUNTERS, CHUNK = 1 << 19, 1 << 13
 #: Tokens counted this far above the average are frequent; their lists are dealt over SPREAD parts.
 FREQUENT, SPREAD = 2048, 64
+#: Units of a list that others are compared with before all of them are, and how many times the lists' size that must save.
+PROBES, WORTH = (8, 64), 8
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(str(i), 7) | 1 for i in range(64)], np.uint64)
 
 
@@ -44,7 +47,7 @@ class _Words(dict):
     """Hashes of words seen before; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 16:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, 42)
         return h
@@ -133,7 +136,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> Dat
 
     def run(batches):
         counts, frequent = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             found = []
             for tokens in batch.column("tokens"):
                 tokens = tokens.values.to_numpy(zero_copy_only=False)
@@ -142,7 +145,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> Dat
                 first = np.lexsort((tokens, seen))[:n + (-n * percent // 100) + 1]
                 prefix = tokens[first]
                 found.append((*_pair(prefix.tobytes() + n.to_bytes(8, "little")), int((seen[first] < frequent).sum()), prefix))
-            columns = list(zip(*found)) or [(), (), (), ()]
+            columns = list(zip(*found))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.list_(pa.int64()))],
                                              names=["row", "n", "p1", "p2", "calm", "prefix"])
 
@@ -156,42 +159,59 @@ def _may_link(n: Column, at: Column, m: Column, to: Column, percent: int) -> Col
     return alike & (F.least(n - at, m - to) * (100 + percent) >= (n + m) * percent)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Staged (u, v) of the staged candidate pairs whose whole sets reach the similarity."""
+def _side_by_side(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(u, v, n, m, a, b): staged pairs with size and tokens (row, n, tokens) of both."""
     ids = stage(pairs.select(F.col("u").alias("of")).unionByName(pairs.select(F.col("v").alias("of"))).distinct(), "candidates")
     few = ids.count() <= BROADCAST_ROWS
-    held = sets.select("row", "tokens")
-    held = held.join(F.broadcast(ids) if few else ids, held["row"] == ids["of"]).select("row", "tokens")
-    held = stage(held, "candidate-sets")
-    one = held.select(F.col("row").alias("u"), F.col("tokens").alias("a"))
-    two = held.select(F.col("row").alias("v"), F.col("tokens").alias("b"))
+    held = rows.join(F.broadcast(ids) if few else ids, rows["row"] == ids["of"], "left_semi")
+    held = held if few else stage(held, "candidate-sets")
+    one = held.select(F.col("row").alias("u"), "n", F.col("tokens").alias("a"))
+    two = held.select(F.col("row").alias("v"), F.col("n").alias("m"), F.col("tokens").alias("b"))
     # A head meets many others: merge joins, whose oversized partitions Spark splits at run time.
-    met = pairs.hint("merge").join(one, "u").hint("merge").join(two, "v")
+    met = one.join(F.broadcast(pairs), "u") if pairs.count() <= BROADCAST_ROWS else pairs.hint("merge").join(one, "u")
+    return met.hint("merge").join(two, "v")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, posts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Staged (u, v) of the staged candidate pairs whose whole sets reach the similarity.
+
+    Prefixes, a fifth of the sets, are compared first: common tokens up to the end of the prefix that
+    ends first are in both, so what both share is at most these and all that lies behind one of them.
+    """
+    enough = lambda both: both * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     both = F.size(F.array_intersect("a", "b"))
-    return stage(met.filter(both * (100 + percent) >= (F.size("a") + F.size("b")) * percent).select("u", "v"), "links")
+    near = _side_by_side(pairs, posts.select("row", "n", F.col("prefix").alias("tokens")))
+    behind = F.greatest(F.col("n") - F.size("a"), F.col("m") - F.size("b"))
+    close = stage(near.filter(enough(both + behind)).select("u", "v"), "close-pairs")
+    return stage(_side_by_side(close, sets.select("row", "n", "tokens")).filter(enough(both)).select("u", "v"), "links")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def similar_classes(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(classes of equal sets: s1, s2, class; roots of linked classes: node, root) of staged shingle sets."""
-    posts = prefixes(sets, token_counts(sets), percent)
-    classes = stage(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("class")), "set-classes")
-    # A group's and a class's name is its first row; groups of one class bear its name.
-    groups = posts.groupBy("p1", "p2").agg(F.min("row").alias("g"), F.any_value("n").alias("n"), F.any_value("calm").alias("calm"), F.any_value("prefix").alias("prefix"))
-    named = posts.select("row", "p1", "p2").join(classes, posts["row"] == classes["class"]).select("class", "p1", "p2")
-    sizes = named.groupBy("p1", "p2").agg(F.min("class").alias("g"), F.count("*").alias("members")).filter("members > 1")
-    members = stage(named.join(sizes, ["p1", "p2"]).select("g", "class"), "group-members")
+def _posting_lists(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members of groups of several classes' rows: g, row; staged lists: token, part, g, n, at, head) of staged prefixes.
 
-    flat = groups.select("g", "n", "calm", F.posexplode("prefix").alias("at", "token"))
+    A group bears the name of its first row. Lists of one group are left out.
+    """
+    firsts = posts.groupBy("p1", "p2").agg(F.min("row").alias("g"), F.count("*").alias("k")).filter("k > 1")
+    firsts = stage(firsts, "shared-prefixes")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
+    members = stage(posts.select("row", "p1", "p2").join(firsts, ["p1", "p2"]).select("g", "row"), "group-rows")
+    doubles = members.filter("row != g").select(F.col("row").alias("of"))
+    few = doubles.count() <= BROADCAST_ROWS
+    groups = posts.join(F.broadcast(doubles) if few else doubles, posts["row"] == doubles["of"], "left_anti")
+    flat = groups.select(F.col("row").alias("g"), "n", "calm", F.posexplode("prefix").alias("at", "token"))
     part = F.when(F.col("at") < F.col("calm"), -1).otherwise(F.pmod(F.xxhash64("g"), F.lit(SPREAD)).cast("int"))
     in_list = Window.partitionBy("token", "part")
-    lists = flat.withColumn("part", part).withColumn("held", F.count("*").over(in_list)).withColumn("head", F.min(F.struct("n", "g", "at")).over(in_list))
-    lists = stage(lists.filter("held > 1 OR part >= 0").select("token", "part", "g", "n", "at", "head"), "posting-lists")
+    flat = flat.select("token", part.alias("part"), "g", F.col("n").cast("int").alias("n"), "at")
+    lists = flat.withColumn("held", F.count("*").over(in_list)).withColumn("head", F.min(F.struct("at", "n", "g")).over(in_list))
+    return members, stage(lists.filter("held > 1 OR part >= 0").select("token", "part", "g", "n", "at", "head"), "posting-lists")
 
-    # Round 1: heads.
+
+def _head_pairs(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Round 1: every group with the head of each of its lists, heads of parts with the list's, members with their group."""
     near = lists.filter((F.col("g") != F.col("head.g")) & _may_link(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"), percent))
     near = near.select("g", F.col("head.g").alias("to"))
     heads = lists.filter("part >= 0").groupBy("token", "part").agg(F.min("head").alias("head"))
@@ -200,27 +220,66 @@ def similar_classes(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     near = near.unionByName(tied.select(F.col("head.g").alias("g"), F.col("top.g").alias("to"))).distinct()
     spelt = near.join(members, "g", "left").select(F.coalesce("class", "g").alias("a"), F.col("to").alias("b"))
     inside = members.filter("class != g").select(F.col("class").alias("a"), F.col("g").alias("b"))
-    first = stage(spelt.unionByName(inside).select(*_ordered("a", "b")).distinct(), "heads")
-    links = verified(first, sets, percent)
-
-    # Round 2: members of different components.
-    roots = stage(components(links), "first-roots")
-    units = lists.join(members, "g", "left").select("token", F.coalesce("class", "g").alias("class"), "n", "at")
-    sized = members.join(sets.select(F.col("row").alias("class"), "n"), "class").select(F.xxhash64("g", F.lit("group")).alias("token"), "class", "n", F.lit(0).alias("at"))
-    units = units.unionByName(sized)
-    units = units.join(roots, units["class"] == roots["node"], "left").select("token", "class", "n", "at", F.coalesce("root", "class").alias("root"))
-    units = stage(units, "units")
-    mixed = units.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
-    mixed = stage(mixed.filter("roots > 1").select("token", F.col("main.root").alias("main")), "open-lists")
-    open_ = stage(units.join(mixed, "token"), "open-units")
-    rest, others = open_.filter("root != main").alias("r"), open_.alias("o")
-    once = (F.col("o.root") == F.col("o.main")) | (F.col("r.class") < F.col("o.class"))
-    meets = (F.col("r.token") == F.col("o.token")) & (F.col("r.root") != F.col("o.root")) & once
+    return stage(spelt.unionByName(inside).select(*_ordered("a", "b")).distinct(), "pairs")
+
+
+def _open_lists(units: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged (units with their component's root; lists of several components: token, main, rest, held)."""
+    named = units.join(roots, units["class"] == roots["node"], "left").select("token", "class", "n", "at", F.coalesce("root", "class").alias("root"))
+    named = stage(named, "named-units")
+    sums = named.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token")
+    lists = sums.agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("held"), F.count("*").alias("roots")).filter("roots > 1")
+    return named, stage(lists.select("token", F.col("main.root").alias("main"), (F.col("held") - F.col("main.k")).alias("rest"), "held"), "open-lists")
+
+
+def _cross_pairs(named: DataFrame, open_: DataFrame, seen: DataFrame, probes: int | None, percent: int) -> DataFrame | None:
+    """Staged pairs of different components that share a list and were not ``seen``.
+
+    Per list, units outside its largest component meet the first ``probes`` of the list, or all of it
+    (None). With probes, None is returned where meeting all is little work anyway.
+    """
+    if probes and not open_.agg(F.sum("held") * WORTH < F.sum(F.col("rest") * F.col("held"))).first()[0]:
+        return None
+    here = stage(named.join(open_.select("token", "main"), "token"), "open-units")
+    rest, others = here.filter("root != main").alias("r"), here
+    if probes:
+        first = F.row_number().over(Window.partitionBy("token").orderBy("at", "n", "class"))
+        others = here.withColumn("place", first).filter(F.col("place") <= probes)
+    others = others.alias("o")
+    # Of two sets the smaller one's common token is among its first n - ceil(2t / (1 + t) * n) + 1.
+    smaller = F.struct("r.n", "r.class") < F.struct("o.n", "o.class")
+    n, at = F.when(smaller, F.col("r.n")).otherwise(F.col("o.n")), F.when(smaller, F.col("r.at")).otherwise(F.col("o.at"))
+    early = (n - at) * (100 + percent) >= n * (2 * percent)
+    once = F.lit(True) if probes else (F.col("o.root") == F.col("o.main")) | (F.col("r.class") < F.col("o.class"))
+    meets = (F.col("r.token") == F.col("o.token")) & (F.col("r.root") != F.col("o.root")) & once & early
     met = rest.join(others, meets & _may_link(F.col("r.n"), F.col("r.at"), F.col("o.n"), F.col("o.at"), percent))
-    second = met.select(*_ordered("r.class", "o.class")).distinct()
-    second = stage(second.join(first, ["u", "v"], "left_anti"), "others")
-    more = verified(second, sets, percent)
-    return classes, components(links.unionByName(more))
+    return stage(met.select(*_ordered("r.class", "o.class")).distinct().join(seen, ["u", "v"], "left_anti"), "pairs")
+
+
+def similar_classes(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(classes of equal sets: s1, s2, class; roots of linked classes: node, root) of staged shingle sets."""
+    posts = prefixes(sets, token_counts(sets), percent)
+    # A class of equal sets bears the name of its first row.
+    classes = stage(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("class")), "set-classes")
+    rows, lists = _posting_lists(posts)
+    members = stage(rows.join(classes, rows["row"] == classes["class"]).select("g", "class"), "group-members")
+
+    seen = _head_pairs(lists, members, percent)
+    links = verified(seen, sets, posts, percent)
+    # Members of a group share all of its lists, and one more that holds them alone.
+    spelt = lists.join(members, "g", "left").select("token", F.coalesce("class", "g").alias("class"), "n", "at")
+    own = members.join(sets.select(F.col("row").alias("class"), F.col("n").cast("int").alias("n")), "class").select(F.xxhash64("g", F.lit("group")).alias("token"), "class", "n", F.lit(0).alias("at"))
+    units = stage(spelt.unionByName(own), "units")
+    roots = stage(components(links), "roots")
+    named, open_ = _open_lists(units, roots)
+    for probes in (*PROBES, None):
+        pairs = _cross_pairs(named, open_, seen, probes, percent)
+        if pairs is not None:
+            seen, links = seen.unionByName(pairs), verified(pairs, sets, posts, percent)
+            if not links.isEmpty():
+                roots = stage(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)), "roots")
+                named, open_ = _open_lists(units, roots) if probes else (named, open_)
+    return classes, roots
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
