@@ -11,8 +11,8 @@ load that is repeated adds nothing. Reading joins the base against the ids of th
 filter on the result reaches the scan of the base. Deltas are merged with each other beyond
 MOST_DELTAS, and with the base when their bytes pass MERGE_AT of its own.
 
-Files are laid out by range of the columns of ``cluster``, in as many tasks as the bytes ask
-for, with Parquet Bloom filters on the columns of ``bloom`` and bounds on all: a filter on
+Files are laid out by range of the columns of ``cluster``, in as many tasks as the bytes and
+the rows ask for, with Parquet Bloom filters on the columns of ``bloom`` and bounds on all: a filter on
 any of them skips row groups that cannot match. One writer at a time.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Bytes of a task's share when a load is written; deltas kept apart; share of the base at which they are merged into it.
-TASK_BYTES, MOST_DELTAS, MERGE_AT = 128 << 20, 8, 0.5
+#: Bytes and rows of a task's share; deltas kept apart; share of the base at which they are merged into it.
+TASK_BYTES, TASK_ROWS, MOST_DELTAS, MERGE_AT = 128 << 20, 500_000, 8, 0.5
 CLUSTER = ("court_level", "date_judgment", "point_uuid")
 BLOOM = ("point_uuid", "case_number", "parent_case_id")
 
@@ -49,6 +49,11 @@ def latest(points: DataFrame, version: str, key: str = "point_uuid") -> DataFram
     return points.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank")
 
 
+def tasks_for(rows: int, size: int = 0) -> int:
+    """Tasks for so many rows of so many bytes; short rows are small in a file and large in memory."""
+    return max(1, -(-size // TASK_BYTES), -(-rows // TASK_ROWS))
+
+
 class Collection:
     """A collection of points at ``path``, keyed by ``key``."""
 
@@ -91,6 +96,10 @@ class Collection:
     def _load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/loads/{name}")
 
+    def _rows(self, names: Sequence[str | None]) -> int:
+        """Rows of loads, from the files' footers."""
+        return sum(self._load(name).count() for name in names if name)
+
     def _deltas(self, names: list[str]) -> DataFrame:
         """The deltas' rows, each id from the last one that has it."""
         rows = None
@@ -99,6 +108,8 @@ class Collection:
             rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
         if len(names) > 1:
             rank = F.row_number().over(Window.partitionBy(self.key).orderBy(F.desc("__load")))
+            tasks = tasks_for(self._rows(names))
+            rows = rows.repartition(tasks, self.key) if tasks > 1 else rows
             rows = rows.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank")
         return rows.drop("__load")
 
@@ -115,14 +126,17 @@ class Collection:
             ids = self._load(made["deltas"][0]).select(self.key)
             for name in made["deltas"][1:]:
                 ids = ids.unionByName(self._load(name).select(self.key))
+            if tasks_for(self._rows(made["deltas"])) > 1:
+                tasks = tasks_for(self._rows([made["base"], *made["deltas"]]))
+                rows, ids = rows.repartition(tasks, self.key), ids.repartition(tasks, self.key)
             rows = rows.join(ids, self.key, "left_anti").unionByName(self._deltas(made["deltas"]), allowMissingColumns=True)
         return rows.select(*[f.name for f in schema])
 
     # ── writing ──
-    def _write(self, rows: DataFrame, size: int) -> str:
-        """A new load; ``size``: about its bytes, which set the number of tasks."""
+    def _write(self, rows: DataFrame, tasks: int) -> str:
+        """A new load, laid out in so many tasks."""
         name, cluster = uuid.uuid4().hex, [c for c in self.cluster if c in rows.columns] or [self.key]
-        laid = rows.repartitionByRange(max(1, -(-size // TASK_BYTES)), *cluster).sortWithinPartitions(*cluster).write.option("parquet.block.size", str(16 << 20))
+        laid = rows.repartitionByRange(tasks, *cluster).sortWithinPartitions(*cluster).write.option("parquet.block.size", str(16 << 20))
         for c in self.bloom:
             if c in rows.columns:
                 laid = laid.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
@@ -143,14 +157,18 @@ class Collection:
         Rows without an id, and loads without rows, are left out.
         """
         draft = f"{self.path}/drafts/{uuid.uuid4().hex}"
-        latest(new.filter(F.col(self.key).isNotNull()), version, self.key).write.parquet(draft)
-        rows, size = self.spark.read.schema(new.schema).parquet(draft), _bytes(self.spark, draft)
+        new.filter(F.col(self.key).isNotNull()).write.parquet(draft)
+        rows = self.spark.read.schema(new.schema).parquet(draft)
+        tasks = tasks_for(rows.count(), _bytes(self.spark, draft))
+        rows = latest(rows.repartition(tasks, self.key), version, self.key)
         made = self.manifest()
         if made and made["base"]:
             held = self.read().select(F.col(self.key).alias("__key"), F.col(version).alias("__version"))
+            if tasks > 1:
+                held = held.repartition(tasks, "__key")
             met = rows.join(held, rows[self.key] == held["__key"], "left")
             rows = met.filter(F.col("__key").isNull() | (F.col(version) > F.col("__version"))).drop("__key", "__version")
-        name = self._write(rows, size)
+        name = self._write(rows, tasks)
         added = self._load(name).count()
         if added:
             schema = self._schema(made, new.schema)
@@ -176,9 +194,9 @@ class Collection:
         base, deltas = (sum(_bytes(self.spark, f"{self.path}/loads/{n}") for n in names) for names in ([made["base"]], made["deltas"]))
         schema = StructType.fromJson(made["schema"])
         if whole or deltas > MERGE_AT * base:
-            self._switch(schema, self._write(self.read(), base + deltas), [])
+            self._switch(schema, self._write(self.read(), tasks_for(self._rows([made["base"], *made["deltas"]]), base + deltas)), [])
         elif len(made["deltas"]) > MOST_DELTAS:
-            self._switch(schema, made["base"], [self._write(self._deltas(made["deltas"]), deltas)])
+            self._switch(schema, made["base"], [self._write(self._deltas(made["deltas"]), tasks_for(self._rows(made["deltas"]), deltas))])
         else:
             return False
         return True
