@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketlake.functions.text import every, has, on_lower, rx, sorted_set, strip, try_long
+from docketlake.functions.text import every, may_match, on_lower, opening, rx, sorted_set, strip, try_long
 
 # The marker between header and body, attribution, disposition phrases.
 MARKER = r"^\s*(?:J\s*U\s*D\s*G\s*M\s*E\s*N\s*T|O\s*R\s*D\s*E\s*R|JUDGMENT|ORDER)\s*$"
@@ -83,25 +83,34 @@ def before_and_match(text: Column, pattern: str, flags: str) -> tuple[Column, Co
     return F.regexp_extract(text, whole, 1), F.regexp_extract(text, whole, 2)
 
 
-def rhetorical_start(text: Column, low: Column, pattern: str) -> Column:
+def around_match(text: Column, pattern: str, flags: str) -> Column:
+    """[text before the first match, text after it], or [text] when there is none."""
+    return F.split(text, rx(pattern, flags), 2)
+
+
+def rhetorical_start(folded: Column, pattern: str) -> Column:
     """Position of the first match that stands near the start of a line.
 
-    Walks the matches in order: pieces between matches and matches alternate, so
-    positions are running sums, and the last 50 characters are all that is needed
-    to find the line start. A match far from any line feed counts as near only
-    when nothing but a short text precedes it.
+    Most often the first match does. Otherwise the matches are walked in order: pieces
+    between matches and matches alternate, so positions are running sums, and the last
+    50 characters are all that is needed to find the line start. A match far from any
+    line feed counts as near only when nothing but a short text precedes it.
     """
-    p = rx(pattern, "im")
-    pieces, hits = F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    p = rx(f"{opening(on_lower(pattern))}(?:{on_lower(pattern)})", "m")
+
+    def near(seen: Column, before: Column) -> Column:
+        near_line = F.length(strip(F.substring_index(seen, "\n", -1))) < LINE_START_LIMIT
+        near_top = F.length(strip(before)) < LINE_START_LIMIT
+        return F.when(seen.contains("\n"), near_line).otherwise(near_top)
+
+    pieces, hits = F.split(folded, p, -1), F.regexp_extract_all(folded, F.lit(p), F.lit(0))
     steps = F.arrays_zip(pieces.alias("piece"), hits.alias("hit"))
     steps = F.filter(steps, lambda s: s["hit"].isNotNull())
 
     def step(state: Column, s: Column) -> Column:
         at = state["end"] + F.length(s["piece"])
         seen = F.right(F.concat(state["context"], s["piece"]), F.lit(LINE_START_LOOKBACK))
-        near_line = F.length(strip(F.substring_index(seen, "\n", -1))) < LINE_START_LIMIT
-        near_top = F.length(strip(F.substring(text, 1, at))) < LINE_START_LIMIT
-        accepted = F.when(seen.contains("\n"), near_line).otherwise(near_top)
+        accepted = near(seen, F.substring(folded, 1, at))
         return F.when(state["found"].isNotNull(), state).otherwise(
             F.struct(
                 (at + F.length(s["hit"])).alias("end"),
@@ -113,17 +122,25 @@ def rhetorical_start(text: Column, low: Column, pattern: str) -> Column:
     start = F.struct(
         F.lit(0).alias("end"), F.lit("").alias("context"), F.lit(None).cast("int").alias("found")
     )
-    # Most texts lack most phrases; the fold runs only where the lower-cased text has one.
-    return F.when(has(low, on_lower(pattern), "m"), F.aggregate(steps, start, step)["found"])
+
+    def from_first(parts: Column) -> Column:
+        before = F.get(parts, F.lit(0))
+        accepted = near(F.right(before, F.lit(LINE_START_LOOKBACK)), before)
+        walked = F.aggregate(steps, start, step)["found"]
+        return F.when(F.size(parts) == 2, F.when(accepted, F.length(before)).otherwise(walked))
+
+    # Most texts lack most phrases: they are searched only where the words stand in the text.
+    found = F.get(F.transform(F.array(F.split(folded, p, 2)), from_first), F.lit(0))
+    return F.when(may_match(folded, pattern), found)
 
 
-def rhetorical_marks(text: Column, low: Column) -> Column:
+def rhetorical_marks(text: Column, folded: Column) -> Column:
     """Array of (at, rank, name) of the seven sections; null for texts too short to split."""
     long_enough = F.length(strip(text)) >= MIN_SPLIT_TEXT
     marks = F.array(
         *(
             F.struct(
-                F.coalesce(*(rhetorical_start(text, low, p) for p in patterns)).alias("at"),
+                F.coalesce(*(rhetorical_start(folded, p) for p in patterns)).alias("at"),
                 F.lit(rank).alias("rank"),
                 F.lit(name).alias("name"),
             )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.functions import sections as S
-from docketlake.functions.text import WHITESPACE, is_blank, rx, strip
+from docketlake.functions.text import WHITESPACE, fold, is_blank, on_lower, rx, strip
 
 # Sizes in characters.
 SINGLE_LIMIT = 100_000
@@ -46,20 +46,20 @@ def with_sections(docs: DataFrame, text: str = "text", into: str = "sections") -
         return df.withColumns({p + name: value for name, value in columns.items()})
 
     df = add(docs, whole=F.when(~is_blank(F.col(text)), strip(F.col(text))))
-    before, match = S.before_and_match(c("whole"), S.MARKER, "m")
-    df = add(df, m_before=before, m_match=match)
+    df = add(df, marked=S.around_match(c("whole"), S.MARKER, "m"), size=F.length(c("whole")))
     # The attribution is looked for only where there is no marker.
-    unmarked = F.when(c("m_match") == "", c("whole"))
-    before, match = S.before_and_match(unmarked, S.ATTRIBUTION, "")
-    df = add(df, a_before=before, a_match=match)
-    start = F.when(c("m_match") != "", F.length(c("m_before"))).otherwise(
-        F.length(F.coalesce(c("a_before"), F.lit("")))
-    )
-    df = add(df, start=start, end=start + F.length(c("m_match")), size=F.length(c("whole")))
+    unmarked = F.when(F.size(c("marked")) == 1, c("whole"))
+    df = add(df, attributed=S.around_match(unmarked, S.ATTRIBUTION, ""))
+    start = F.when(F.size(c("marked")) == 2, F.length(F.get(c("marked"), F.lit(0)))).when(
+        F.size(c("attributed")) == 2, F.length(F.get(c("attributed"), F.lit(0)))
+    ).otherwise(F.when(c("whole").isNotNull(), 0))
+    behind = F.when(F.size(c("marked")) == 2, c("size") - F.length(F.get(c("marked"), F.lit(1))))
+    df = add(df, start=start)
+    df = add(df, end=F.coalesce(behind, c("start")))
     df = add(df, search_from=F.greatest(c("end"), (c("size") * F.lit(S.DISPOSITION_SHARE)).cast("int")))
-    before, match = S.before_and_match(S.cut(c("whole"), c("search_from"), c("size")), S.DISPOSITION, "im")
-    df = add(df, d_before=before, d_match=match)
-    df = add(df, at=F.when(c("d_match") != "", c("search_from") + F.length(c("d_before"))))
+    searched = fold(S.cut(c("whole"), c("search_from"), c("size")))
+    df = add(df, disposed=S.around_match(searched, on_lower(S.DISPOSITION), "m"))
+    df = add(df, at=F.when(F.size(c("disposed")) == 2, c("search_from") + F.length(F.get(c("disposed"), F.lit(0)))))
     df = add(df, window=S.cut(c("whole"), F.greatest(c("end"), c("at") - S.DISPOSITION_LOOKBACK), c("at")))
     line_start = F.when(
         c("window").contains("\n"), c("at") - F.length(F.substring_index(c("window"), "\n", -1))
@@ -123,7 +123,7 @@ def rhetorical_map(docs: DataFrame, text: str = "text", into: str = "parts") ->
     """Adds map ``into`` of section name → text (facts, issues, …, order)."""
     c, p = F.col, f"__{into}_"
     source = F.coalesce(c(text), F.lit(""))
-    staged = docs.withColumn(p + "text", source).withColumn(p + "low", F.lower(c(p + "text")))
+    staged = docs.withColumn(p + "text", source).withColumn(p + "low", fold(c(p + "text")))
     staged = staged.withColumn(p + "marks", S.rhetorical_marks(c(p + "text"), c(p + "low")))
     marks = F.array_sort(F.filter(c(p + "marks"), lambda m: m["at"].isNotNull()))
     staged = staged.withColumn(p + "sorted", marks)
