@@ -9,6 +9,7 @@ from docketlake.functions import courts as K
 from docketlake.functions import people as P
 from docketlake.functions.dates import all_dates
 from docketlake.functions.people import judge_names_any_case
+from docketlake.functions.text import fold, head, squash
 from docketlake.operators import extraction as X
 from docketlake.workload import duck as Q
 from docketlake.workload import judgments as J
@@ -181,7 +182,8 @@ FROM p"""
 
 def judges_any_case(spark, sf_dir):
     docs = J.judgments(spark, sf_dir)
-    names = judge_names_any_case(F.col("text"))
+    docs = docs.withColumns({"low": fold(F.col("text")), "flat": squash(head(F.col("text"), 3000))})
+    names = judge_names_any_case(F.col("text"), F.col("low"), F.col("flat"))
     return docs.select("judgment_id", F.array_join(names, "|").alias("judge_names"))
 
 
@@ -228,7 +230,9 @@ FROM n"""
 
 def court_codes(spark, sf_dir):
     docs = J.judgments(spark, sf_dir)
-    return docs.select("judgment_id", K.court_code(F.coalesce(K.court_name(F.col("text")), F.col("text"))).alias("court_code"))
+    docs = docs.withColumn("low", fold(F.col("text")))
+    docs = docs.withColumn("court", F.coalesce(K.court_name(F.col("text"), F.col("low")), F.col("text")))
+    return docs.select("judgment_id", K.court_code(F.col("court")).alias("court_code"))
 
 
 COURT_CODES_SQL = f"""WITH {SOURCE}, a AS (SELECT judgment_id, lower(coalesce({_COURT}, text)) AS src FROM j)
