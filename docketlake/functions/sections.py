@@ -10,6 +10,9 @@ from docketlake.functions.text import every, may_match, on_lower, opening, rx, s
 # The marker between header and body, attribution, disposition phrases.
 MARKER = r"^\s*(?:J\s*U\s*D\s*G\s*M\s*E\s*N\s*T|O\s*R\s*D\s*E\s*R|JUDGMENT|ORDER)\s*$"
 ATTRIBUTION = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*,\s*J\.?\s*[:—–-]"
+# The same for Java: a run of names is never given back, since no other end of it meets a comma. Without that, a long
+# run overflows the stack of its task.
+ATTRIBUTION_RUN = ATTRIBUTION.replace("[a-z]+)*,", "[a-z]++)*+,")
 DISPOSITION = (
     r"(?:appeal|petition|application|case)\s+is\s+(?:hereby\s+)?(?:dismissed|allowed|disposed)"
     r"|ordered\s+accordingly"

@@ -49,7 +49,7 @@ def with_sections(docs: DataFrame, text: str = "text", into: str = "sections") -
     df = add(df, marked=S.around_match(c("whole"), S.MARKER, "m"), size=F.length(c("whole")))
     # The attribution is looked for only where there is no marker.
     unmarked = F.when(F.size(c("marked")) == 1, c("whole"))
-    df = add(df, attributed=S.around_match(unmarked, S.ATTRIBUTION, ""))
+    df = add(df, attributed=S.around_match(unmarked, S.ATTRIBUTION_RUN, ""))
     start = F.when(F.size(c("marked")) == 2, F.length(F.get(c("marked"), F.lit(0)))).when(
         F.size(c("attributed")) == 2, F.length(F.get(c("attributed"), F.lit(0)))
     ).otherwise(F.when(c("whole").isNotNull(), 0))
